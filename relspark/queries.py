@@ -101,9 +101,9 @@ def project_qualified(t):
     return n.join(r, F.col("n.n_regionkey") == F.col("r.r_regionkey")).select("n.n_name", "r.r_name")
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) + l_tax, 4) AS amount FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) + l_tax AS amount FROM lineitem")
 def arith_expr(t):
-    return project(t("lineitem"), l_orderkey="l_orderkey", l_linenumber="l_linenumber", amount="round(l_extendedprice * (1 - l_discount) + l_tax, 4)")
+    return project(t("lineitem"), l_orderkey="l_orderkey", l_linenumber="l_linenumber", amount="l_extendedprice * (1 - l_discount) + l_tax")
 
 
 @query("SELECT o_orderkey, o_orderkey + 2 AS plus, o_orderkey - 3 AS minus, o_orderkey * 4 AS times FROM orders")
@@ -116,14 +116,14 @@ def int_division(t):
     return t("orders").select("o_orderkey", divide("0 - o_orderkey", "7", True).alias("a"), divide("o_orderkey", "7", True).alias("b"))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice / l_quantity, 4) AS unit FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity AS unit FROM lineitem")
 def float_division(t):
-    return t("lineitem").select("l_orderkey", "l_linenumber", F.round(divide("l_extendedprice", "l_quantity", False), 4).alias("unit"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", divide("l_extendedprice", "l_quantity", False).alias("unit"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN NULL ELSE round(l_tax / l_discount, 6) END AS ratio FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN NULL ELSE l_tax / l_discount END AS ratio FROM lineitem")
 def division_by_zero_null(t):
-    return t("lineitem").select("l_orderkey", "l_linenumber", F.round(try_divide_or_null("l_tax", "l_discount"), 6).alias("ratio"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", try_divide_or_null("l_tax", "l_discount").alias("ratio"))
 
 
 @query("SELECT o_orderkey, o_orderkey % 7 AS rest, (0 - o_orderkey) % 7 AS neg FROM orders")
