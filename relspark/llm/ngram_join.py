@@ -69,7 +69,7 @@ def size_classes(size: int, num: int, den: int) -> list[tuple[int, int]]:
 def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
     """One hash for each part of the token space, for each size class of the set."""
     out = []
-    for k, parts in size_classes(len(tokens), num, den):
+    for k, parts in size_classes(len(tokens), num, den) if len(tokens) else ():
         edges = np.searchsorted(tokens, (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64))
         edges = np.concatenate([[0], edges])
         full = np.flatnonzero(np.diff(np.append(edges, len(tokens))))

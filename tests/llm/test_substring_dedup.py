@@ -53,7 +53,7 @@ def test_edges(spark):
     out = dedup_substrings(df).collect()
     found = {r.doc_id: r for r in out}
     assert len(out) == len(docs) and found[None].text == text and found[1].text == "" and found[3].text == " \n "
-    assert found[4].n_removed == found[4].n_sentences and found[5].n_removed == found[5].n_sentences
+    assert found[4].n_removed == found[4].n_sentences and found[5].n_removed >= 20 and found[5].n_removed < found[5].n_sentences
     assert found[7].n_removed > 19_000
     assert dedup_substrings(df.limit(0)).collect() == []
 
