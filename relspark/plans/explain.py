@@ -31,7 +31,7 @@ def facts(rows: DataFrame) -> PlanFacts:
     return PlanFacts(
         exchanges=len(re.findall(r"(?<!Reused)(?<!Broadcast)Exchange ", text)),
         joins=re.findall(r"(BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin|BroadcastNestedLoopJoin|CartesianProduct)", text),
-        pushed_filters=[f.strip() for part in re.findall(r"PushedFilters: \[([^\]]*)\]", text) for f in part.split(", ") if f.strip()],
+        pushed_filters=[f.strip() for part in re.findall(r"PushedFilters: \[(.*?)(?:\]|\.\.\.)", text) for f in part.split(", ") if f.strip()],
         read_columns=sorted({c.split(":")[0] for part in schema for c in part.split(",") if c}),
         python=bool(re.search("Python|Pandas|Arrow", text)),
         cartesian="CartesianProduct" in text,
