@@ -14,7 +14,7 @@ from relspark.llm.line_dedup import dedup_lines
 from relspark.llm.mixing import mix_sources
 from relspark.llm.ngram_join import ngram_join
 from relspark.llm.quality import score_quality, train
-from relspark.llm.secret_scan import joined_spans, scan_secrets
+from relspark.llm.secret_scan import ACCESS, ASSIGN, BLANK, ENDPOINT, HEX, ID, MIN_ACCESS, MIN_ASSIGN, WEAK, joined_spans, scan_secrets
 from relspark.llm.sharding import compact_into_shards
 from relspark.llm.substring_dedup import dedup_substrings
 from relspark.llm.url_filter import filter_urls
@@ -156,8 +156,85 @@ best AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, digest AS text_sha256 FROM best
 """
 
-_OP3 = "SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, sha256(text) AS text_sha256 FROM documents"
+_OP4 = rf"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+item_windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT item_id, w, least(13, len(w)) AS n FROM item_words WHERE len(w) > 0))),
+doc_windows AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc_words, (SELECT DISTINCT n FROM item_windows) WHERE len(w) >= n)),
+hits AS (SELECT d.doc_id, d.n, d.i, m.item_id FROM doc_windows d JOIN item_windows m ON d.n = m.n AND d.g = m.g),
+hit_words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, n, i FROM hits)) GROUP BY doc_id),
+hit_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items, sha256(coalesce(i.items, '')) AS items_sha256,
+       coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
+FROM doc_words d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items i USING (doc_id)
+"""
+
+_OP8 = rf"""
+WITH RECURSIVE doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT doc_id, w, least(3, len(w)) AS k FROM doc_words WHERE len(w) > 0))),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN sizes s ON s.doc_id = a.doc_id JOIN sizes t ON t.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, s.n, t.n HAVING 100 * count(*) >= 90 * (s.n + t.n - count(*))),
+reach(x, y) AS (SELECT DISTINCT x, x FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.root, d.doc_id) AS component_id
+FROM doc_words d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS root FROM reach GROUP BY x) c USING (doc_id)
+"""
+
+
+def _op5_sql(reach: int = 200) -> str:
+    """Spans by the same marks, then the links as joins of spans."""
+
+    def spans(kind: str, pattern: str, keep: str = "true") -> str:
+        p = pattern.replace("'", "''")
+        return f"""
+  SELECT doc_id, '{kind}' AS kind, CASE WHEN i = 0 THEN 0 ELSE list_sum(list_transform(p[1:i], lambda y: length(y))) END AS s, length(p[i + 1]) AS n, p[i + 1] AS m
+  FROM (SELECT doc_id, p, unnest(range(1, len(p), 2)) AS i
+        FROM (SELECT doc_id, string_split(regexp_replace(t, '({p})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS p FROM texts)) WHERE {keep.format(p=p)}"""
+
+    assign = spans("assign", ASSIGN, f"length(regexp_extract(p[i + 1], '{{p}}', 2)) >= {MIN_ASSIGN}")
+    access = spans("access", ACCESS, f"length(p[i + 1]) >= {MIN_ACCESS}")
+    rest = [spans(k, p) for k, p in (("hex", HEX), ("id", ID), ("weak", WEAK), ("endpoint", ENDPOINT), ("break", BLANK))]
+    near = f"a.doc_id = b.doc_id AND a.scope = b.scope AND a.s - {reach} <= b.e AND b.s - {reach} <= a.e"
+    return f"""
+WITH texts AS (SELECT doc_id, translate(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
+found AS ({" UNION ALL ".join([assign, access, *rest])}),
+spans AS (SELECT doc_id, kind, CAST(s AS BIGINT) AS s, CAST(s + n AS BIGINT) AS e FROM found),
+placed AS (
+  SELECT a.doc_id, a.kind, a.s, a.e, (SELECT count(*) FROM spans b WHERE b.doc_id = a.doc_id AND b.kind = 'break' AND b.s < a.s) AS scope
+  FROM spans a WHERE a.kind <> 'break' AND NOT (a.kind = 'weak' AND EXISTS (SELECT 1 FROM spans b WHERE b.doc_id = a.doc_id AND b.kind = 'assign' AND b.s < a.e AND a.s < b.e))),
+names AS (SELECT * FROM placed WHERE kind IN ('id', 'access')),
+keys AS (SELECT * FROM placed WHERE kind IN ('weak', 'assign')),
+linked_names AS (SELECT * FROM names a WHERE EXISTS (SELECT 1 FROM keys b WHERE {near})),
+linked_keys AS (SELECT * FROM keys a WHERE EXISTS (SELECT 1 FROM names b WHERE {near})),
+linked_places AS (SELECT * FROM placed a WHERE kind = 'endpoint' AND EXISTS (SELECT 1 FROM linked_keys b WHERE {near})),
+reported AS (
+  SELECT doc_id, kind, s, e FROM spans WHERE kind IN ('assign', 'access', 'hex')
+  UNION ALL SELECT doc_id, kind, s, e FROM linked_names WHERE kind = 'id'
+  UNION ALL SELECT doc_id, kind, s, e FROM linked_keys WHERE kind = 'weak'
+  UNION ALL SELECT doc_id, kind, s, e FROM linked_places),
+ordered AS (
+  SELECT doc_id, kind, s, list_position(['assign', 'access', 'hex', 'id', 'weak', 'endpoint'], kind) AS k, kind || ':' || s || ':' || e AS line FROM reported)
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(line, ',' ORDER BY s, k) FILTER (WHERE k <= 3), '')) AS base_sha256, coalesce(string_agg(line, ',' ORDER BY s, k), '') AS spans
+FROM documents d LEFT JOIN ordered o ON o.doc_id = d.doc_id GROUP BY d.doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _OP1, "op2_url_filter": _OP2, "op7_source_mix": _OP7, "op9_exact_dedup": _OP9}
+    return {
+        "op1_line_dedup": _OP1, "op2_url_filter": _OP2, "op4_decontaminate": _OP4, "op5_secret_scan": _op5_sql(), "op7_source_mix": _OP7,
+        "op8_ngram_join": _OP8, "op9_exact_dedup": _OP9,
+    }
