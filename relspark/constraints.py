@@ -33,8 +33,11 @@ def duplicate_keys(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def existing_keys(new: DataFrame, old: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """New rows whose key an old row has; a NULL in the key is equal to nothing."""
-    return new.join(old.select(*columns), list(columns), "left_semi")
+    """Keys of old rows that a new row has too; a NULL in the key is equal to nothing.
+
+    The new rows, mostly few, are the side that is looked up, so the old ones need no shuffle.
+    """
+    return old.select(*columns).join(new.select(*columns), list(columns), "left_semi")
 
 
 def primary_key_violations(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -285,7 +285,10 @@ class Tables:
                 parent_name = rule["parent"] if "." in rule["parent"] or not prefix else f"{prefix}.{rule['parent']}"
                 parent = txn.get("tables", parent_name)
                 keys = rule["parent_columns"] or self._primary_key(parent)
-                C.require_none(C.foreign_key_violations(rows, rule["columns"], self.frame(parent), keys), f"{name}: {rule['columns']} has no parent in {rule['parent']}")
+                # of the parents only those that the rows name take part, found without shuffling the others
+                named = rows.select(*(F.col(quoted(c)).alias(k) for c, k in zip(rule["columns"], keys, strict=True)))
+                parents = self.frame(parent).select(*map(quoted, keys)).join(named, keys, "left_semi")
+                C.require_none(C.foreign_key_violations(rows, rule["columns"], parents, keys), f"{name}: {rule['columns']} has no parent in {rule['parent']}")
 
     def check_existing(self, txn: Transaction, name: str, rule: dict[str, Any]) -> None:
         """Whether the rows that a table has already keep a constraint that is to be added."""
