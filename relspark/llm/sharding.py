@@ -38,9 +38,9 @@ class ShardStore:
     thousand lines.
     """
 
-    def __init__(self, spark: SparkSession, path: str, small_bytes: int = 8_000_000, target_bytes: int = 128_000_000, fanout: int = 4, text_col: str = "text"):
+    def __init__(self, spark: SparkSession, path: str, small_bytes: int = 8_000_000, target_bytes: int = 128_000_000, fanout: int = 4, text_col: str = "text", codec: str = "zstd"):
         self.spark, self.path, self.text_col = spark, path.rstrip("/"), text_col
-        self.small_bytes, self.target_bytes, self.fanout = small_bytes, target_bytes, fanout
+        self.small_bytes, self.target_bytes, self.fanout, self.codec = small_bytes, target_bytes, fanout, codec
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -85,7 +85,7 @@ class ShardStore:
     def _write(self, rows: DataFrame, shard: str) -> list[Shard]:
         """Write rows, dealt by the column ``shard``, one folder a shard, and measure what was written."""
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        rows.write.partitionBy(shard).parquet(folder)
+        rows.write.partitionBy(shard).option("compression", self.codec).parquet(folder)
         if not any(s.isDirectory() for s in self._fs.listStatus(self._path(folder))):
             return []
         back = self.spark.read.parquet(folder)
