@@ -1,4 +1,9 @@
-"""A corpus pipeline: each stage takes (spark, docs, sf_dir) and its result is the next one's docs."""
+"""A corpus pipeline: each stage takes (spark, docs, sf_dir) and its result is the next one's docs.
+
+Stages take documents with nulls in any column, empty and very long texts, repeated rows and columns beyond
+those of ``documents``; all but the last return the columns they got. What becomes of such rows is said in
+the docstrings of the operators they call; an empty table stays empty.
+"""
 
 from __future__ import annotations
 

@@ -251,9 +251,10 @@ class LineIndex:
     it is replaced. A version counts once its pages are written, so a failed change leaves no trace.
     """
 
-    def __init__(self, spark: SparkSession, path: str, min_points: int = 40, min_docs: int = 5, shards: int = 16):
+    def __init__(self, spark: SparkSession, path: str, min_points: int = 40, min_docs: int = 5, shards: int = 16, version: int = 0):
+        """``version`` reopens an index at one of its versions, 0 starts a new one."""
         self.spark, self.path, self.min_points, self.min_docs, self.shards = spark, path, min_points, min_docs, shards
-        self.version = 0
+        self.version = version
 
     def _ledger(self, upto: int) -> DataFrame:
         return self.spark.read.parquet(*[f"{self.path}/ledger/v{v}" for v in range(1, upto + 1)])
@@ -274,8 +275,8 @@ class LineIndex:
         before, self.version = self.version, self.version + 1
         try:
             rows.write.mode("overwrite").parquet(f"{self.path}/ledger/v{self.version}")
-            touched = self._ledger(self.version).filter(f"shard in ({', '.join(map(str, range(self.shards)))})")
-            touched = touched.join(self.spark.read.parquet(f"{self.path}/ledger/v{self.version}").select("shard").distinct(), "shard", "left_semi")
+            batch = self.spark.read.parquet(f"{self.path}/ledger/v{self.version}")
+            touched = self._ledger(self.version).join(F.broadcast(batch.select("shard").distinct()), "shard", "left_semi")
             held = touched.groupBy("shard", "h1", "h2", "doc_id").agg(F.sum("delta").alias("n")).filter("n > 0")
             now = held.groupBy("shard", "h1", "h2").agg(F.sum("n").alias("n_docs"), F.max("doc_id").alias("keep_id"))
             frequent = now.filter(F.col("n_docs") >= self.min_docs).drop("n_docs")

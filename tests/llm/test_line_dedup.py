@@ -52,6 +52,7 @@ def test_index_takes_documents_out_again(spark, tmp_path):
     index.insert(df.filter("doc_id < 3"))
     index.insert(df.filter("doc_id >= 3"))
     assert rows(index.dedup(df)) == brute.dedup_lines(docs)
+    index = LineIndex(spark, index.path, shards=3, version=index.version)
     index.delete(df.filter("doc_id in (2, 23)"))
     left = [d for d in docs if d[0] not in (2, 23)]
     assert rows(index.dedup(df.filter("doc_id not in (2, 23)"))) == brute.dedup_lines(left)

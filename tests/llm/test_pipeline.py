@@ -31,3 +31,15 @@ def test_empty(spark, sf):
     none = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, sf).count() == 0
+
+
+def test_odd_rows(spark, sf):
+    good = "The and of this that with words in the usual order, and so on. " * 3
+    rows = [(1, good, "en", "a", 5), (2, good + "more", None, None, None), (None, None, None, None, None), (3, "", "", "", 0), (4, good, "en", "b", 5), (4, good, "en", "b", 5), (5, "x" * 100_000, "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as label", "2 as score", "array(3) as tokens")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        out.collect()
+    kept = [r[0] for r in corpus_pipeline.near_duplicates(spark, docs, sf).select("doc_id").collect()]
+    assert sorted(kept, key=repr) == sorted([1, None, 3, 5], key=repr)
