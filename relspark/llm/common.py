@@ -7,6 +7,7 @@ whatever the language of the text.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -47,6 +48,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver's heap is collected, which a quiet driver may not do for half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def skew_join(rows: DataFrame, lookup: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with one ``lookup`` row a key so that AQE can split a hot key.
+
+    A lookup that was aggregated by its key lies dealt by it already and would be joined without an
+    exchange of its own, and AQE splits only joins with one on both sides. A bit hashed from the key as a
+    further join column has both sides dealt anew.
+    """
+    dealt = [d.withColumn("__bit", F.hash(*keys).bitwiseAND(1)) for d in (rows, lookup)]
+    return dealt[0].join(dealt[1], [*keys, "__bit"], how).drop("__bit")
+
+
 def text_or_empty(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 

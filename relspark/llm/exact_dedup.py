@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import SPACE_CLASS, cut, text_or_empty
+from relspark.llm.common import SPACE_CLASS, cut, skew_join, text_or_empty
 
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,7 +65,7 @@ def exact_dedup(
     rows = cut(digest_rows(docs, id_col, text_col))
     best = merge_runs(rows, radix, partitions)
     winners = best.select("digest", F.col("best.doc_id").alias("keep_id"), "group_size")
-    return rows.join(winners, "digest").select(
+    return skew_join(rows.select("doc_id", "digest"), winners, "digest").select(
         "doc_id",
         "keep_id",
         "group_size",

@@ -1,17 +1,23 @@
 """N-gram Jaccard self-join over a prefix tree, exact at the given threshold.
 
 Two stages. *Candidates*: documents with equal shingle sets become one class by a digest of the set.
-Links between classes at Jaccard ``t`` leave at most ``d = size * (1 - t) / t`` shingles unshared, so if the
-shingle space is cut into more than ``d`` parts, two linked sets agree on a whole part that is not empty;
-each class emits one signature a part. Equal signatures chain classes into candidate components.
-*Join*: the texts of a component meet, and its sets, ordered by one global order (document frequency in
-the component, then hash), are laid out as a prefix tree whose nodes are ranges of the sorted sets.
-A set walks the tree from the root; overlap with a shared prefix is counted once for the whole
-subtree, subtrees are pruned by remaining-length bounds or when all of their documents are linked
-with the set already, and small subtrees are finished in one vectorised count.
-
-A component of more than ``max_group`` classes is cut into blocks, and each pair of blocks is joined
-by itself, so a task's memory stays bounded; the blocks' links are united at the end.
+Shingles have one global order: their number of documents, then their hash. Of two sets ``x`` and ``y`` linked
+at Jaccard ``t``, at most ``|x| - t|x|`` shingles of ``x`` are missing in ``y``, so the first shingle they share, in
+any fixed order and in any fixed part of the shingle space, stands among the first ``|x| - t|x| + 1`` of each.
+Only a hashed fraction of the space is counted and ordered (sets with too few shingles in it use
+the whole space besides), and of those prefixes only shingles that a second document has are kept: texts that
+merely share passages have enough rarer shingles of their own and drop out here. Classes with
+equal prefix shingles form candidate components.
+*Join*: the texts of a component meet, and its sets, most shared shingles first, are laid out as a
+prefix tree whose nodes are ranges of the sorted sets. A set walks the tree from the root; overlap with
+a shared prefix is counted once for the whole subtree, subtrees are pruned by remaining-length bounds
+or when all of their documents are linked with the set already, and small subtrees are finished in one
+vectorised count.
+
+A component of more than ``max_group`` classes is cut into blocks, so a task's memory stays bounded. First
+every block is joined by itself together with a few hub sets of the whole component; in a large group of near
+copies that already unites almost all. Then the sets outside of the largest part, in blocks, meet every
+block of the component. Pairs inside one part need no more looking at, so no link between parts is lost.
 """
 
 from __future__ import annotations
@@ -20,15 +26,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relspark.llm.common import MIX2, WordIds, as_bytes, cut, gram_hashes, id_and_text, mixed
+from relspark.llm.common import WordIds, as_bytes, cut, gram_hashes, id_and_text, mixed, release, skew_join
 from relspark.llm.graph import connected_components
 
-#: Size classes grow by this factor; spare parts allow for parts that are empty.
-GROWTH, SPARE = 1.5, 1
+#: Sets in a subtree below which the tree is not walked any further but counted at once.
 LEAF = 48
+#: About so many sets of a split component meet all of its blocks.
+HUBS = 64
 
 
 def shingles(text: bytes, n: int, ids: WordIds) -> np.ndarray:
@@ -42,76 +49,76 @@ def shingles(text: bytes, n: int, ids: WordIds) -> np.ndarray:
     return np.unique(gram_hashes(hashed, n))
 
 
-def size_classes(size: int, num: int, den: int) -> list[tuple[int, int]]:
-    """``(class, parts)`` for a set's own size class and a lower one that a partner may be in.
+def ordered_part(tokens: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """The shingles of a set that are put in order, and how many of them lie in the hashed fraction.
 
-    Sets linked at ``num/den`` of sizes ``a <= b`` have ``a >= b * num / den`` and differ in at most
-    ``a * (den - num) / num`` shingles; they meet in the class of the smaller.
+    The lowest bit tells the space: 0 for the fraction, 1 for the whole. The fraction is 10/7 of the share
+    ``1 - num / den`` that a linked set may lack, so a prefix is about 7/10 of it. Linked sets that share
+    nothing in the fraction both have fewer shingles there than their prefix is long, and both
+    bring the whole space along.
     """
-    def of(s: int) -> tuple[int, int]:
-        k = int(np.log(s) / np.log(GROWTH) + 1e-9)
-        while GROWTH ** (k + 1) <= s:
-            k += 1
-        while k and GROWTH**k > s:
-            k -= 1
-        largest = int(np.ceil(GROWTH ** (k + 1))) - 1
-        return k, largest * (den - num) // num
-
-    smallest = -(-size * num // den)
-    classes = dict([of(size), of(max(smallest, 1))])
-    for s in range(smallest, size):  # classes between the two; none while GROWTH > den / num
-        if GROWTH > den / num:
-            break
-        classes.update([of(s)])
-    return [(k, d + 1 + SPARE) for k, d in classes.items() if d]
-
-
-def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
-    """One hash for each part of the token space, for each size class of the set."""
-    out = []
-    for k, parts in size_classes(len(tokens), num, den) if len(tokens) else ():
-        edges = np.searchsorted(tokens, (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64))
-        edges = np.concatenate([[0], edges])
-        full = np.flatnonzero(np.diff(np.append(edges, len(tokens))))
-        sums = np.add.reduceat(mixed(tokens ^ MIX2), edges[full])
-        out.append(mixed(sums + mixed(np.uint64(k * 1_000_003 + 17) + full.astype(np.uint64))))
-        if parts - len(full) > SPARE:  # too many empty parts for the bound: they count as agreeing
-            empty = np.setdiff1d(np.arange(parts), full).astype(np.uint64)
-            out.append(mixed(mixed(empty + np.uint64(k * 1_000_003 + 500_000)) ^ MIX2))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+    limit = np.uint64(min((1 << 64) - 1, (1 << 64) * 10 * (den - num) // (7 * den)))
+    part = tokens[tokens < limit] << np.uint64(1)
+    if len(part) >= prefix_length(len(tokens), num, den):
+        return part, len(part)
+    return np.concatenate([part, (tokens << np.uint64(1)) | np.uint64(1)]), len(part)
+
+
+def prefix_length(size: int, num: int, den: int) -> int:
+    return size - -(-size * num // den) + 1
 
 
 def shingle_table(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, n_shingles, set_id, sigs``; ``set_id`` is a 128-bit digest, null for empty sets."""
-    kinds = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("sigs", pa.list_(pa.int64()))]
+    """``doc_id, n_shingles, n_part, set_id, tokens``; ``set_id`` is a 128-bit digest, null for empty sets."""
+    kinds = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("n_part", pa.int64()), ("set_id", pa.binary()), ("tokens", pa.list_(pa.int64()))]
 
     def build(parts):
         ids = WordIds()
         for batch in parts:
-            size, digest, sigs = [], [], []
+            size, part, digest, tokens = [], [], [], []
             for text in as_bytes(batch, "text"):
                 s = shingles(text, n, ids)
+                kept, in_part = ordered_part(s, num, den)
                 size.append(len(s))
+                part.append(in_part)
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sigs.append(signatures(s, num, den).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, (_, t) in zip((size, digest, sigs), kinds[1:], strict=True))], schema=pa.schema(kinds))
-
-    return id_and_text(docs, id_col, text_col).mapInArrow(build, "doc_id long, n_shingles long, set_id binary, sigs array<long>")
-
-
-def _chain(parts):
-    """Edges between neighbours of equal signature in a stream sorted by signature."""
-    last_sig, last_doc = None, None
-    for batch in parts:
-        sig, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(sig):
-            continue
-        before_sig = np.append(sig[0] if last_sig is None else last_sig, sig[:-1])
-        before_doc = np.append(doc[0] if last_doc is None else last_doc, doc[:-1])
-        at = (sig == before_sig) & (doc != before_doc)
-        pairs = np.unique(np.stack([doc[at], before_doc[at]], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-        last_sig, last_doc = sig[-1], doc[-1]
+                tokens.append(kept.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, (_, t) in zip((size, part, digest, tokens), kinds[1:], strict=True))], schema=pa.schema(kinds))
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(build, "doc_id long, n_shingles long, n_part long, set_id binary, tokens array<long>")
+
+
+def prefix_rows(table: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """``token, doc_id``: the prefix shingles of each class that other documents have too."""
+    rows = table.select(F.explode("tokens").alias("token"), "doc_id")
+    counts = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = skew_join(rows, counts, "token")
+    space = F.col("token").bitwiseAND(1)
+    own = Window.partitionBy("doc_id", space)
+    ranked = shared.select(
+        "token", "doc_id", space.alias("space"), F.row_number().over(own.orderBy("df", "token")).alias("place"), F.count("*").over(own).alias("n_shared")
+    )
+    size = F.col("n_shingles")
+    reps = table.join(classes, ["set_id"]).filter(F.col("doc_id") == F.col("rep")).select(F.col("doc_id").alias("rep"), size, "n_part").distinct()
+    joined = ranked.join(reps, F.col("doc_id") == F.col("rep"))
+    whole = F.when(F.col("space") == 0, F.col("n_part")).otherwise(size)
+    alone = whole - F.col("n_shared")  # shingles of this set only come first in the order
+    prefix = size - F.expr(f"(n_shingles * {num} + {den - 1}) div {den}") + 1
+    return joined.filter(F.col("place") <= prefix - alone).select("token", "doc_id")
+
+
+def candidate_edges(prefixes: DataFrame, salts: int = 64) -> DataFrame:
+    """Stars ``a, b`` that connect all classes with a prefix shingle in common.
+
+    A shingle's classes meet its smallest one in two steps, within salted parts first, so that not
+    even a shingle of a third of all texts brings more than a part of them to one task.
+    """
+    rows = prefixes.select("token", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"), "doc_id")
+    heads = rows.groupBy("token", "salt").agg(F.min("doc_id").alias("head"))
+    lows = heads.groupBy("token").agg(F.min("head").alias("low"))
+    near = skew_join(rows, heads, "token", "salt").filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    far = skew_join(heads, lows, "token").filter("head <> low").select(F.col("head").alias("a"), F.col("low").alias("b"))
+    return near.unionByName(far)
 
 
 class PrefixTree:
@@ -161,11 +168,17 @@ class PrefixTree:
             self.children[key] = (end, int(self.size[lo:hi].min()), int(self.lengths[lo:hi].max()) - end, ranges)
         return self.children[key]
 
-    def links(self, num: int, den: int) -> np.ndarray:
-        """The smallest position of each set's component, in the order the sets were given."""
+    def links(self, num: int, den: int, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """A position that stands for each set's component, before and after, in the order the sets were given.
+
+        Sets of equal ``labels`` are linked from the start.
+        """
         n = len(self.rows)
         root = np.arange(n)
-        total = num + den
+        if labels is not None:
+            _, first, inverse = np.unique(np.asarray(labels)[self.order], return_index=True, return_inverse=True)
+            root = first[inverse]
+        before, total = root.copy(), num + den
         for x in range(n):
             if (root[x + 1 :] == root[x]).all():
                 continue
@@ -194,37 +207,64 @@ class PrefixTree:
                         low, high = min(r, int(root[x])), max(r, int(root[x]))
                         root[root == high] = low
             self.marks[row] = False
-        out = np.empty(n, np.int64)
-        out[self.order] = np.asarray(self.order)[root]
-        return out
+        out = np.empty((2, n), np.int64)
+        out[:, self.order] = np.asarray(self.order)[np.stack([before, root])]
+        return out[0], out[1]
 
 
 def _join_groups(n: int, num: int, den: int):
     """Join the sets of each ``cell`` in a stream sorted by cell: links (a, b) of document ids."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def join(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        roots = PrefixTree(sets).links(num, den)
+    def join(ids: list[int], labels: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        before, roots = PrefixTree(sets).links(num, den, np.array(labels))
         docs = np.array(ids)
-        at = np.flatnonzero(roots != np.arange(len(roots)))
+        at = np.flatnonzero(roots != before)
         return pa.RecordBatch.from_arrays([pa.array(docs[at]), pa.array(docs[roots[at]])], schema=schema)
 
     def stream(parts):
-        words, cell, ids, sets = WordIds(), None, [], []
+        words, cell, ids, labels, sets = WordIds(), None, [], [], []
         for batch in parts:
-            for key, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch, "text"), strict=True):
+            columns = (batch.column(i).to_pylist() for i in range(3))
+            for key, doc, label, text in zip(*columns, as_bytes(batch, "text"), strict=True):
                 if key != cell:
                     if len(sets) > 1:
-                        yield join(ids, sets)
-                    cell, ids, sets = key, [], []
+                        yield join(ids, labels, sets)
+                    cell, ids, labels, sets = key, [], [], []
                 ids.append(doc)
+                labels.append(label)
                 sets.append(shingles(text, n, words))
         if len(sets) > 1:
-            yield join(ids, sets)
+            yield join(ids, labels, sets)
 
     return stream
 
 
+def _block(name: str, count: Column) -> Column:
+    return F.pmod(F.xxhash64(name), count).cast("int")
+
+
+def _leftover_cells(placed: DataFrame, links: DataFrame, max_group: int) -> DataFrame:
+    """Cells ``rep, cell, label`` in which the sets outside the largest part of a split component meet all."""
+    roots = connected_components(links)
+    split = placed.filter("blocks > 1").join(roots, F.col("rep") == F.col("node"), "left").select("rep", "cell", "blocks", "block", F.coalesce("root", "rep").alias("label"))
+    split = cut(split)
+    parts = split.groupBy("cell", "label").agg(F.count("*").alias("n"))
+    totals = parts.groupBy("cell").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+    rows = totals.select("cell", F.col("top.label").alias("largest"), F.ceil((F.col("all") - F.col("top.n")) / max_group).cast("int").alias("left_blocks")).filter("left_blocks > 0")
+    marked = skew_join(split, rows, "cell")
+    meet = marked.withColumn("left_block", F.explode(F.expr("sequence(0, left_blocks - 1)")))
+    bring = marked.filter("label <> largest").withColumn("left_block", _block("rep", F.col("left_blocks"))).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+    named = [d.select("rep", F.xxhash64("cell", "block", "left_block", F.lit("left")).alias("cell"), "label") for d in (meet, bring)]
+    return named[0].unionByName(named[1]).distinct()
+
+
+def _join_cells(texts: DataFrame, cells: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links ``a, b`` between the texts of each cell."""
+    gathered = texts.join(cells, texts["doc_id"] == cells["rep"]).select("cell", "doc_id", "label", "text")
+    return gathered.repartition("cell").sortWithinPartitions("cell").mapInArrow(_join_groups(n, num, den), "a long, b long")
+
+
 def ngram_join(
     docs: DataFrame,
     n: int = 3,
@@ -247,26 +287,31 @@ def ngram_join(
     classes = cut(
         table.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     )
-    reps = classes.select("rep").distinct()
-    sigs = table.join(reps, table["doc_id"] == reps["rep"], "left_semi").select(F.explode("sigs").alias("sig"), "doc_id")
-    edges = sigs.repartition("sig").sortWithinPartitions("sig", "doc_id").mapInArrow(_chain, "a long, b long")
+    prefixes = cut(prefix_rows(table, classes, num, den))
+    release(docs.sparkSession)
+    edges = candidate_edges(prefixes)
     members = cut(connected_components(edges).select(F.col("node").alias("rep"), F.col("root").alias("cell")))
-    sizes = members.groupBy("cell").agg(F.count("*").alias("members")).withColumn("blocks", F.ceil(F.col("members") / max_group).cast("int"))
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    placed = members.join(sizes, "cell").select("rep", "cell", "blocks", block.alias("mine"))
-    others = F.expr("transform(sequence(0, blocks - 1), i -> struct(least(i, mine) as lo, greatest(i, mine) as hi))")
-    cells = placed.withColumn("pair", F.explode(F.filter(others, lambda p: (p["lo"] < p["hi"]) | (F.col("blocks") == 1))))
-    cells = cells.select("rep", F.struct("cell", "pair.lo", "pair.hi").alias("key")).withColumn("cell", F.xxhash64("key")).select("rep", "cell")
+    sizes = members.groupBy("cell").agg(F.count("*").alias("members"))
+    blocks = F.ceil(F.col("members") / max_group).cast("int")
+    placed = skew_join(members, sizes, "cell").select("rep", "cell", "members", blocks.alias("blocks"), _block("rep", blocks).alias("block"))
+    hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("rep", F.lit("hub")), F.ceil(F.col("members") / HUBS)) == 0)
+    where = F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    first = placed.select("rep", F.explode(where).alias("block"), "cell").select("rep", F.xxhash64("cell", "block").alias("cell"), F.col("rep").alias("label"))
     texts = id_and_text(docs, id_col, text_col)
-    gathered = texts.join(cells, texts["doc_id"] == cells["rep"]).select("cell", "doc_id", "text")
-    links = gathered.repartition("cell").sortWithinPartitions("cell").mapInArrow(_join_groups(n, num, den), "a long, b long")
+    links = cut(_join_cells(texts, first, n, num, den))
+    if not placed.filter("blocks > 1").isEmpty():
+        links = links.unionByName(_join_cells(texts, _leftover_cells(placed, links, max_group), n, num, den))
     roots = connected_components(links)
     rooted = classes.join(roots, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("root", "rep").alias("component"))
     return table.join(rooted, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with one row of each group of linked documents: the one of the smallest id."""
-    heads = ngram_join(docs, id_col=id_col, **how).filter("doc_id = component_id").select(F.col("doc_id").alias("__head_id")).distinct()
-    kept = docs.join(heads, F.col(id_col).cast("long") == F.col("__head_id"), "left_semi")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one row of each group of linked documents: the one of the smallest id.
+
+    Of rows repeated with id and text one stays; different texts under the id that stays all do. Texts without
+    words are linked with nothing and stay, and so does every row with a null id. The columns stay.
+    """
+    heads = ngram_join(docs, id_col=id_col, text_col=text_col, **how).filter("doc_id = component_id").select(F.col("doc_id").alias("__head_id")).distinct()
+    kept = docs.join(heads, F.col(id_col) == F.col("__head_id"), "left_semi").dropDuplicates([id_col, text_col])
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))

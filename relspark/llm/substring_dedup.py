@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import MIX, SPACE_BYTES, WORD_TABLE, as_bytes, gram_hashes, id_and_text, mixed
+from relspark.llm.common import MIX, SPACE_BYTES, WORD_TABLE, as_bytes, gram_hashes, id_and_text, mixed, skew_join
 
 MORE = np.uint64(0x5851F42D4C957F2D)
 IS_SPACE = np.array([c in SPACE_BYTES for c in range(256)])
@@ -125,7 +125,7 @@ def dedup_substrings(
     rows = id_and_text(docs, id_col, text_col)
     runs = run_table(rows.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"), "text"), splitter)
     firsts = runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    later = runs.join(firsts.filter("n > 1").select("h1", "h2", "first"), ["h1", "h2"]).filter("doc_id <> first")
+    later = skew_join(runs, firsts.filter("n > 1").select("h1", "h2", "first"), "h1", "h2").filter("doc_id <> first")
     gone = later.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("h1").alias("gone"))
     out = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_sentences", pa.int64()), ("n_removed", pa.int64())])
 
