@@ -69,28 +69,42 @@ def prefix_length(size: int, num: int, den: int) -> int:
 
 
 def shingle_table(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, n_shingles, n_part, set_id, tokens``; ``set_id`` is a 128-bit digest, null for empty sets."""
-    kinds = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("n_part", pa.int64()), ("set_id", pa.binary()), ("tokens", pa.list_(pa.int64()))]
+    """``doc_id, n_shingles, n_part, set_id``; ``set_id`` is a 128-bit digest, null for empty sets."""
+    kinds = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("n_part", pa.int64()), ("set_id", pa.binary())]
 
     def build(parts):
         ids = WordIds()
         for batch in parts:
-            size, part, digest, tokens = [], [], [], []
+            size, part, digest = [], [], []
             for text in as_bytes(batch, "text"):
                 s = shingles(text, n, ids)
-                kept, in_part = ordered_part(s, num, den)
                 size.append(len(s))
-                part.append(in_part)
+                part.append(ordered_part(s, num, den)[1])
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                tokens.append(kept.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, (_, t) in zip((size, part, digest, tokens), kinds[1:], strict=True))], schema=pa.schema(kinds))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, (_, t) in zip((size, part, digest), kinds[1:], strict=True))], schema=pa.schema(kinds))
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(build, "doc_id long, n_shingles long, n_part long, set_id binary, tokens array<long>")
+    return id_and_text(docs, id_col, text_col).mapInArrow(build, "doc_id long, n_shingles long, n_part long, set_id binary")
 
 
-def prefix_rows(table: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+def token_rows(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """``token, doc_id`` for every shingle that is put in order.
+
+    They are many and hardly compress, so they are made from the texts where needed rather than stored.
+    """
+
+    def build(parts):
+        ids = WordIds()
+        for batch in parts:
+            kept = [ordered_part(shingles(text, n, ids), num, den)[0] for text in as_bytes(batch, "text")]
+            take = pa.array(np.repeat(np.arange(len(kept)), [len(k) for k in kept]))
+            tokens = np.concatenate(kept) if kept else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), batch.column(0).take(take)], names=["token", "doc_id"])
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(build, "token long, doc_id long")
+
+
+def prefix_rows(rows: DataFrame, table: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """``token, doc_id``: the prefix shingles of each class that other documents have too."""
-    rows = table.select(F.explode("tokens").alias("token"), "doc_id")
     counts = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     shared = skew_join(rows, counts, "token")
     space = F.col("token").bitwiseAND(1)
@@ -287,7 +301,8 @@ def ngram_join(
     classes = cut(
         table.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     )
-    prefixes = cut(prefix_rows(table, classes, num, den))
+    rows = token_rows(docs, n, num, den, id_col, text_col)
+    prefixes = cut(prefix_rows(rows, table, classes, num, den))
     release(docs.sparkSession)
     edges = candidate_edges(prefixes)
     members = cut(connected_components(edges).select(F.col("node").alias("rep"), F.col("root").alias("cell")))
