@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from relspark.llm.queries import op10_substring_dedup
 from relspark.llm.substring_dedup import Splitter, dedup_substrings
 
 
@@ -63,3 +64,33 @@ def test_word_hashes_do_not_depend_on_place():
     a, b = s.sentences(b"xx yy zz zz")[2], s.sentences(b"\n long lead-in before it zz yy, XX")[2]
     assert a[0] == b[-1] and a[1] == b[-2] and a[2] == a[3] == b[-3]
     assert len(np.unique(a)) == 3
+
+
+def test_short_sentences_are_compared(spark):
+    lone = [" ".join(f"{w}!!" for w in passage(5, 60, False).split()), " ".join(["!!"] * 60), " ".join(["|"] * 60), passage(6, 60, False).replace(" ", "\n")]
+    lone += ["| a | bb | ccc | dd | e | ff " * 12, "Two words.", "One. Two. Three.", "First sentence of two here. Second one of the text, also with words."]
+    docs = [(i, t) for i, t in enumerate(lone)] + [(100 + i, t) for i, t in enumerate(lone)]
+    mixed_in = [(200, passage(7, 40) + "\n" + lone[3] + "\n" + passage(8, 40)), (201, passage(9, 40) + "\nEnd.")]
+    out = {r.doc_id: r for r in dedup_substrings(spark.createDataFrame(docs + mixed_in + [(301, mixed_in[1][1])], "doc_id long, text string"), extend=True).collect()}
+    for i in range(len(lone)):
+        assert out[100 + i].text == "" and out[100 + i].n_removed == out[100 + i].n_sentences, lone[i]
+    assert out[0].text == lone[0] and out[3].text == lone[3] and [out[i].text for i in range(5, 8)] == lone[5:8]
+    assert out[200].n_removed == 60 and out[301].text == "" and out[201].text == mixed_in[1][1]
+
+
+def test_extended_runs_by_definition():
+    s, draw = Splitter(3, 8, 8, 4, extend=True), random.Random(4)
+    for _ in range(300):
+        sizes = [draw.choice([1, 1, 2, 3, 9]) for _ in range(draw.randint(1, 20))]
+        stops = np.cumsum(sizes)
+        fits = [(a, b) for b in range(len(sizes) + 1) for a in range(b - 2) if sum(sizes[a:b]) >= 8]
+        least = {f for f in fits if not any(g[0] == f[0] and g[1] < f[1] for g in fits)} | {f for f in fits if not any(g[1] == f[1] and g[0] > f[0] for g in fits)}
+        low, high = s.spans(np.append(0, stops[:-1]), stops)
+        assert sorted(zip(low.tolist(), high.tolist())) == sorted(least or {(0, len(sizes))})
+        assert set().union(*(range(a, b) for a, b in zip(low, high))) == set(range(len(sizes)))
+
+
+def test_query_extends_runs(spark, tmp_path):
+    text = "\n".join(passage(11, 60, False).split())
+    spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.n_removed for r in op10_substring_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 60}
