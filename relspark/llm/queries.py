@@ -54,7 +54,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    found = scan_secrets(_read(spark, sf_dir, "documents", "doc_id", "text"), unlabelled=False)  # as its SQL has it
     base = F.concat("assign", "access", "hex")
     order = ["assign", "access", "hex", "id", "weak", "endpoint"]
     return found.select(
