@@ -36,6 +36,8 @@ from relspark.llm.graph import connected_components
 LEAF = 48
 #: About so many sets of a split component meet all of its blocks.
 HUBS = 64
+#: Links handed on at once.
+BATCH = 100_000
 
 
 def shingles(text: bytes, n: int, ids: WordIds) -> np.ndarray:
@@ -182,17 +184,14 @@ class PrefixTree:
             self.children[key] = (end, int(self.size[lo:hi].min()), int(self.lengths[lo:hi].max()) - end, ranges)
         return self.children[key]
 
-    def links(self, num: int, den: int, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """A position that stands for each set's component, before and after, in the order the sets were given.
+    def roots(self, labels: np.ndarray) -> np.ndarray:
+        """The first place, in the tree's order, of each set's label."""
+        _, first, inverse = np.unique(np.asarray(labels)[self.order], return_index=True, return_inverse=True)
+        return first[inverse]
 
-        Sets of equal ``labels`` are linked from the start.
-        """
-        n = len(self.rows)
-        root = np.arange(n)
-        if labels is not None:
-            _, first, inverse = np.unique(np.asarray(labels)[self.order], return_index=True, return_inverse=True)
-            root = first[inverse]
-        before, total = root.copy(), num + den
+    def walk(self, num: int, den: int, root: np.ndarray):
+        """Places ``x`` and of linked sets behind it, but for subtrees whose sets all have the root of ``x``."""
+        n, total = len(self.rows), num + den
         for x in range(n):
             if (root[x + 1 :] == root[x]).all():
                 continue
@@ -215,26 +214,58 @@ class PrefixTree:
                 base = self.offsets[lo_new]
                 hits = np.append(0, np.cumsum(self.marks[self.flat[base : self.offsets[hi]]]))
                 shared = hits[self.offsets[lo_new + 1 : hi + 1] - base] - hits[self.offsets[lo_new:hi] - base]
-                linked = np.flatnonzero(total * shared >= num * (size + self.size[lo_new:hi])) + lo_new
-                for r in np.unique(root[linked]).tolist():
-                    if r != root[x]:
-                        low, high = min(r, int(root[x])), max(r, int(root[x]))
-                        root[root == high] = low
+                yield x, np.flatnonzero(total * shared >= num * (size + self.size[lo_new:hi])) + lo_new
             self.marks[row] = False
+
+    def pairs(self, num: int, den: int, labels: np.ndarray):
+        """Arrays of positions of linked sets with unlike labels: every such pair once."""
+        root, order = self.roots(labels), np.asarray(self.order)
+        for x, linked in self.walk(num, den, root):
+            linked = linked[root[linked] != root[x]]
+            if len(linked):
+                yield np.full(len(linked), order[x]), order[linked]
+
+    def links(self, num: int, den: int, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """A position that stands for each set's component, before and after, in the order the sets were given.
+
+        Sets of equal ``labels`` are linked from the start.
+        """
+        n = len(self.rows)
+        root = np.arange(n) if labels is None else self.roots(labels)
+        before = root.copy()
+        for x, linked in self.walk(num, den, root):
+            for r in np.unique(root[linked]).tolist():
+                if r != root[x]:
+                    low, high = min(r, int(root[x])), max(r, int(root[x]))
+                    root[root == high] = low
         out = np.empty((2, n), np.int64)
         out[:, self.order] = np.asarray(self.order)[np.stack([before, root])]
         return out[0], out[1]
 
 
-def _join_groups(n: int, num: int, den: int):
-    """Join the sets of each ``cell`` in a stream sorted by cell: links (a, b) of document ids."""
+def _join_groups(n: int, num: int, den: int, every: bool = False):
+    """Join the sets of each ``cell`` in a stream sorted by cell: links (a, b) of document ids.
+
+    ``every`` link between unlike labels is given, or else only enough of them to unite what is linked.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def join(ids: list[int], labels: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        before, roots = PrefixTree(sets).links(num, den, np.array(labels))
-        docs = np.array(ids)
-        at = np.flatnonzero(roots != before)
-        return pa.RecordBatch.from_arrays([pa.array(docs[at]), pa.array(docs[roots[at]])], schema=schema)
+    def join(ids: list[int], labels: list[int], sets: list[np.ndarray]):
+        docs, tree = np.array(ids), PrefixTree(sets)
+        if not every:
+            before, roots = tree.links(num, den, np.array(labels))
+            at = np.flatnonzero(roots != before)
+            yield pa.RecordBatch.from_arrays([pa.array(docs[at]), pa.array(docs[roots[at]])], schema=schema)
+            return
+        held, size = [], 0
+        for pair in tree.pairs(num, den, np.array(labels)):
+            held.append(np.sort(docs[np.stack(pair)], axis=0))
+            size += held[-1].shape[1]
+            if size >= BATCH:
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(held, axis=1))), schema=schema)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(held, axis=1))), schema=schema)
 
     def stream(parts):
         words, cell, ids, labels, sets = WordIds(), None, [], [], []
@@ -243,13 +274,13 @@ def _join_groups(n: int, num: int, den: int):
             for key, doc, label, text in zip(*columns, as_bytes(batch, "text"), strict=True):
                 if key != cell:
                     if len(sets) > 1:
-                        yield join(ids, labels, sets)
+                        yield from join(ids, labels, sets)
                     cell, ids, labels, sets = key, [], [], []
                 ids.append(doc)
                 labels.append(label)
                 sets.append(shingles(text, n, words))
         if len(sets) > 1:
-            yield join(ids, labels, sets)
+            yield from join(ids, labels, sets)
 
     return stream
 
@@ -273,10 +304,53 @@ def _leftover_cells(placed: DataFrame, links: DataFrame, max_group: int) -> Data
     return named[0].unionByName(named[1]).distinct()
 
 
-def _join_cells(texts: DataFrame, cells: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _join_cells(texts: DataFrame, cells: DataFrame, n: int, num: int, den: int, every: bool = False) -> DataFrame:
     """Links ``a, b`` between the texts of each cell."""
     gathered = texts.join(cells, texts["doc_id"] == cells["rep"]).select("cell", "doc_id", "label", "text")
-    return gathered.repartition("cell").sortWithinPartitions("cell").mapInArrow(_join_groups(n, num, den), "a long, b long")
+    return gathered.repartition("cell").sortWithinPartitions("cell").mapInArrow(_join_groups(n, num, den, every), "a long, b long")
+
+
+def _placed(docs: DataFrame, n: int, num: int, den: int, max_group: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The table of all rows, the classes, and the block of each class in its candidate component."""
+    table = cut(shingle_table(docs, n, num, den, id_col, text_col))
+    classes = cut(
+        table.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
+    )
+    rows = token_rows(docs, n, num, den, id_col, text_col)
+    prefixes = cut(prefix_rows(rows, table, classes, num, den))
+    release(docs.sparkSession)
+    edges = candidate_edges(prefixes)
+    members = cut(connected_components(edges).select(F.col("node").alias("rep"), F.col("root").alias("cell")))
+    sizes = members.groupBy("cell").agg(F.count("*").alias("members"))
+    blocks = F.ceil(F.col("members") / max_group).cast("int")
+    return table, classes, skew_join(members, sizes, "cell").select("rep", "cell", "members", blocks.alias("blocks"), _block("rep", blocks).alias("block"))
+
+
+def ngram_links(
+    docs: DataFrame,
+    n: int = 3,
+    num: int = 90,
+    den: int = 100,
+    max_group: int = 20_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Every link between unlike texts, ``a, b`` with ``a < b``, once: the pairs that ``ngram_join`` unites.
+
+    A text is named by the smallest id with its set; rows with the same set, which all link, are one text.
+    Rows with a null id are named by others of their text or not at all. In a component of more than
+    ``max_group`` texts every two blocks meet, so a task holds two blocks at most.
+    """
+    _, _, placed = _placed(docs, n, num, den, max_group, id_col, text_col)
+    other = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    alone = F.col("block") == F.col("other")
+    cells = other.select(
+        "rep",
+        F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
+        F.when(alone, F.col("rep")).otherwise(F.col("block")).cast("long").alias("label"),
+    )
+    texts = id_and_text(docs, id_col, text_col)
+    return _join_cells(texts, cells, n, num, den, every=True).filter("a <> b").distinct()
 
 
 def ngram_join(
@@ -297,18 +371,7 @@ def ngram_join(
     linked like copies under other ids; texts under one id whose sets that id represents are one
     node. A row with a null id belongs to the component of its text, if another row has that text. An empty table gives no rows; other columns are not read.
     """
-    table = cut(shingle_table(docs, n, num, den, id_col, text_col))
-    classes = cut(
-        table.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    )
-    rows = token_rows(docs, n, num, den, id_col, text_col)
-    prefixes = cut(prefix_rows(rows, table, classes, num, den))
-    release(docs.sparkSession)
-    edges = candidate_edges(prefixes)
-    members = cut(connected_components(edges).select(F.col("node").alias("rep"), F.col("root").alias("cell")))
-    sizes = members.groupBy("cell").agg(F.count("*").alias("members"))
-    blocks = F.ceil(F.col("members") / max_group).cast("int")
-    placed = skew_join(members, sizes, "cell").select("rep", "cell", "members", blocks.alias("blocks"), _block("rep", blocks).alias("block"))
+    table, classes, placed = _placed(docs, n, num, den, max_group, id_col, text_col)
     hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("rep", F.lit("hub")), F.ceil(F.col("members") / HUBS)) == 0)
     where = F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = placed.select("rep", F.explode(where).alias("block"), "cell").select("rep", F.xxhash64("cell", "block").alias("cell"), F.col("rep").alias("label"))

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from relspark.llm.ngram_join import PrefixTree, keep_one, ngram_join, ordered_part, prefix_length
+from relspark.llm.ngram_join import PrefixTree, keep_one, ngram_join, ngram_links, ordered_part, prefix_length
 from tests.llm import brute
 
 
@@ -80,3 +80,17 @@ def test_tree_finds_all_links():
     moved = [(i, r) for i, r in enumerate(after.tolist()) if r != before[i]]
     same = [(i, j) for i in range(len(sets)) for j in range(i) if labels[i] == labels[j]]
     assert brute.components(moved + same, range(len(sets))) == want
+
+
+@pytest.mark.parametrize(("num", "max_group"), [(90, 20_000), (80, 7), (90, 1)])
+def test_all_links_like_brute_force(spark, num, max_group):
+    docs = near_copies()
+    docs += [(200 + i, t) for i, t in docs[:3]]
+    sets = {}
+    for d, t in docs:
+        sets.setdefault(brute.shingle_set(t, 3), d)
+    want = {(a, b) for x, a in sets.items() for y, b in sets.items() if a < b and 100 * len(x & y) >= num * len(x | y)}
+    df = spark.createDataFrame([*docs, (None, docs[0][1]), (300, "")], "doc_id long, text string")
+    got = [tuple(r) for r in ngram_links(df, num=num, max_group=max_group).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) > len(sets) - len(set(brute.components(want, sets.values()).values()))
