@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 from pyspark.sql import functions as F
@@ -39,3 +40,25 @@ def test_large_rates_and_edges(spark):
     assert mix_sources(docs.limit(0)).collect() == []
     few = mix_sources(docs, max_broadcast_sources=0)
     assert sorted(map(tuple, few.collect()), key=repr) == sorted(map(tuple, mix_sources(docs).collect()), key=repr)
+
+
+def test_parts_of_large_rates_like_plain_version(spark):
+    docs = [(i, "x" * (i + 1), "tiny") for i in range(3)] + [(10 + i, "y" * 2000, "hot") for i in range(200)]
+    size = {"tiny": 6, "hot": 400_000}
+    roots = {s: math.sqrt(n) for s, n in size.items()}
+    want = {}
+    for d, t, s in docs:
+        rate = roots[s] / sum(roots.values()) * sum(size.values()) / size[s]
+        parts = max(math.ceil(rate / 64), 1)
+        assert parts > 1 or s == "hot"
+        for i in range(1, parts + 1):
+            u = int(hashlib.md5(f"count-42:{d}:{hashlib.md5(t.encode()).hexdigest()}:{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
+            k, term = 0, math.exp(-rate / parts)
+            below = term
+            while below <= u:
+                k += 1
+                term *= rate / parts / k
+                below += term
+            want[d] = want.get(d, 0) + k
+    got = {r[0]: r[1] for r in mix_sources(spark.createDataFrame(docs, "doc_id long, text string, source string")).groupBy("doc_id").count().collect()}
+    assert got == {d: n for d, n in want.items() if n} and max(want.values()) > 200
