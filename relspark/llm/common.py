@@ -7,7 +7,6 @@ whatever the language of the text.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -48,13 +47,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+#: Bits that a set of ids is hashed to, in maps of 4 KB: 8 MB in all, however many ids there are.
+ID_BITS, MAP_BITS = 1 << 26, 1 << 15
 
-    It does so when the driver's heap is collected, which a quiet driver may not do for half an hour.
+
+def _slot(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(id_col), F.lit(ID_BITS))
+
+
+def id_bitmaps(ids: DataFrame) -> DataFrame:
+    """The column ``id`` as bits of a table of fixed size, to leave rows out of a join before they are shuffled."""
+    slot = _slot("id")
+    return cut(ids.groupBy(F.floor(slot / MAP_BITS).cast("int").alias("map")).agg(F.bitmap_construct_agg(slot % MAP_BITS).alias("bits")))
+
+
+def in_bitmaps(rows: DataFrame, bitmaps: DataFrame, id_col: str, hit: bool) -> DataFrame:
+    """Rows whose id may be in the set (``hit``) or certainly is not; a null id never is.
+
+    The table of bits is broadcast: 8 MB at most. A set of more ids than bits lets nearly all rows through.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    slot = _slot(id_col)
+    placed = rows.withColumns({"__map": F.floor(slot / MAP_BITS).cast("int"), "__at": (slot % MAP_BITS).cast("int")})
+    found = placed.join(F.broadcast(bitmaps.select(F.col("map").alias("__map"), F.col("bits").alias("__bits"))), "__map", "left")
+    byte = "cast(conv(hex(substring(__bits, cast(__at div 8 as int) + 1, 1)), 16, 10) as int)"
+    held = F.col(id_col).isNotNull() & F.coalesce(F.expr(f"shiftright({byte}, __at % 8) % 2 = 1"), F.lit(False))
+    return found.filter(held if hit else ~held).select(*rows.columns)
 
 
 def skew_join(rows: DataFrame, lookup: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
