@@ -94,6 +94,19 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
 
 
+def packed(docs: DataFrame) -> Column:
+    """A whole row as one struct, so that an operator's own columns clash with none of it; ``row.*`` unpacks it."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores after it until no column has it."""
+    lowered = {c.lower() for c in taken}
+    while name.lower() in lowered:
+        name += "_"
+    return name
+
+
 def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import MIX, WORD_TABLE, WordIds, as_bytes, gram_hashes, id_and_text, mixed
+from relspark.llm.common import MIX, WORD_TABLE, WordIds, as_bytes, gram_hashes, id_and_text, mixed, packed, text_or_empty
 
 SPANS = "doc_id long, doc_key long, n_words long, starts array<int>, ends array<int>, items array<long>"
 
@@ -190,8 +190,9 @@ def contamination(
     text_col: str = "text",
     item_col: str = "item_id",
 ) -> DataFrame:
-    """One row per input row: ``doc_id, n_words, n_hit, starts, ends, items, contaminated``.
+    """One row per input row: ``doc_id, doc_key, n_words, n_hit, starts, ends, items, contaminated``.
 
+    ``doc_key`` is the xxhash64 of the text.
     ``starts``/``ends`` are the united word spans (end exclusive) that windows of items cover, ``items``
     the sorted ids of the items with occurring windows, ``contaminated`` is ``n_hit > 0 and share *
     n_hit >= n_words``. Null or wordless text has no words and is clean; items that are null, have a
@@ -212,14 +213,19 @@ def contamination(
         copies = F.explode(F.sequence(F.lit(1).cast("long"), F.expr(f"n div {passes}")))
         found = merged.select("doc_id", "doc_key", "n_words", "starts", "ends", "items", copies.alias("copy")).drop("copy").mapInArrow(_unite, SPANS)
     hit = F.coalesce(F.aggregate(F.zip_with("starts", "ends", lambda s, e: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), "starts", "ends", "items").withColumn("contaminated", F.expr(f"n_hit > 0 and {share} * n_hit >= n_words"))
+    return found.select("doc_id", "doc_key", "n_words", hit.alias("n_hit"), "starts", "ends", "items").withColumn("contaminated", F.expr(f"n_hit > 0 and {share} * n_hit >= n_words"))
 
 
 def items_digest(items: list[int]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without the rows whose id is contaminated."""
-    bad = contamination(docs, benchmark, id_col=id_col, **how).filter("contaminated").select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad_id")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` without the rows whose id and text are contaminated.
+
+    Rows with null, empty or wordless text stay; rows repeated with id and text go or stay together; very long texts
+    are judged whole. A null id is like any other. The columns stay, whatever their names; an empty table stays empty.
+    """
+    bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **how).filter("contaminated").select(F.col("doc_id").alias("id"), F.col("doc_key").alias("key")).distinct()
+    own = docs.select(packed(docs).alias("row"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(text_or_empty(text_col)).alias("own_key"))
+    return own.join(bad, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")), "left_anti").select("row.*")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import SPACE_CLASS, cut, skew_join, text_or_empty
+from relspark.llm.common import SPACE_CLASS, cut, packed, skew_join, text_or_empty
 
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,6 +75,12 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose id does not stay."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
+    """``docs`` without the rows whose id does not stay.
+
+    Null and empty texts are equal to each other, so one of their ids stays; a null id, which sorts first, stays like any other.
+    Rows repeated with an id that stays all do; very long texts are compared whole. The columns stay, whatever their
+    names; an empty table stays empty.
+    """
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("id")).distinct()
+    own = docs.select(packed(docs).alias("row"), F.col(id_col).cast("long").alias("own_id"))
+    return own.join(kept, F.col("own_id").eqNullSafe(F.col("id")), "left_semi").select("row.*")

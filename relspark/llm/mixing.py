@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import cut, text_or_empty
+from relspark.llm.common import cut, packed, text_or_empty
 
 #: A rate above this is drawn as the sum of independent parts, as exp(-rate) would underflow.
 PART = 64.0
@@ -39,21 +39,21 @@ def poisson_inverse(u: Column, rate: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None, epochs: float, source_col: str, text_col: str) -> DataFrame:
-    """``__source, __rate``: per source ``epochs * weight * all code points / its code points``.
+    """``name, rate``: per source ``epochs * weight * all code points / its code points``.
 
     Sources not named in ``weights`` get rate 0; without ``weights`` a source's weight goes with the
     square root of its size, so small sources are raised and large ones lowered.
     """
-    sizes = docs.groupBy(F.col(source_col).alias("__source")).agg(F.sum(F.length(text_or_empty(text_col)).cast("double")).alias("size"))
+    sizes = docs.select(F.col(source_col).alias("name"), F.length(text_or_empty(text_col)).cast("double").alias("points")).groupBy("name").agg(F.sum("points").alias("size"))
     if weights is None:
         weighed = sizes.withColumn("w", F.sqrt("size"))
     else:
-        table = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "name string, w double")
-        weighed = sizes.join(table, F.col("__source").eqNullSafe(F.col("name")), "left").select("__source", "size", F.coalesce("w", F.lit(0.0)).alias("w"))
+        table = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "known string, w double")
+        weighed = sizes.join(table, F.col("name").cast("string").eqNullSafe(F.col("known")), "left").select("name", "size", F.coalesce("w", F.lit(0.0)).alias("w"))
     totals = weighed.agg(F.sum("size").alias("all_size"), F.sum("w").alias("all_w"))
     return weighed.join(F.broadcast(totals)).select(  # one row of totals beside one row a source
-        "__source",
-        F.when((F.col("size") > 0) & (F.col("all_w") > 0), F.lit(float(epochs)) * F.col("w") / F.col("all_w") * F.col("all_size") / F.col("size")).otherwise(F.lit(float(epochs))).alias("__rate"),
+        "name",
+        F.when((F.col("size") > 0) & (F.col("all_w") > 0), F.lit(float(epochs)) * F.col("w") / F.col("all_w") * F.col("all_size") / F.col("size")).otherwise(F.lit(float(epochs))).alias("rate"),
     )
 
 
@@ -70,25 +70,26 @@ def mix_sources(
 ) -> DataFrame:
     """``docs`` with each row repeated by its Poisson count, in a globally shuffled order.
 
-    The columns stay; ``copy_col``, if named, numbers a row's copies from 0. A null source is a
+    The columns stay, whatever their names; ``copy_col``, if named, numbers a row's copies from 0. A null source is a
     source of its own (named None in ``weights``); null text counts as empty, and a source of empty
-    texts only has rate ``epochs``. Rows repeated with id and text share their draw. An empty table
+    texts only has rate ``epochs``. Ids are of any type. Rows repeated with id and text share their draw, and rows of equal place
+    in the shuffle lie next to each other in no fixed order. Very long texts count in full. An empty table
     gives no rows. The table of rates has a row for each source; up to ``max_broadcast_sources`` it
     is broadcast, beyond that joined by shuffle, where AQE splits a hot source.
     """
     rates = cut(source_rates(docs, weights, epochs, source_col, text_col))
     few = rates.limit(max_broadcast_sources + 1).count() <= max_broadcast_sources
-    joined = docs.join(F.broadcast(rates) if few else rates, F.col(source_col).eqNullSafe(F.col("__source")))
     key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text_or_empty(text_col)))
-    parts = F.greatest(F.ceil(F.col("__rate") / PART).cast("int"), F.lit(1))
-    keyed = joined.select(*(F.col(c) for c in docs.columns), key.alias("__key"), "__rate", parts.alias("__parts"))
+    own = docs.select(packed(docs).alias("row"), F.col(source_col).alias("source"), key.alias("key"))
+    joined = own.join(F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col("name")))
+    keyed = joined.select("row", "key", "rate", F.greatest(F.ceil(F.col("rate") / PART).cast("int"), F.lit(1)).alias("parts"))
     count = F.aggregate(
-        F.sequence(F.lit(1), F.col("__parts")),
+        F.sequence(F.lit(1), F.col("parts")),
         F.lit(0),
-        lambda total, i: total + poisson_inverse(hashed_uniform(F.lit(f"count-{seed}"), F.col("__key"), i.cast("string")), F.col("__rate") / F.col("__parts")),
+        lambda total, i: total + poisson_inverse(hashed_uniform(F.lit(f"count-{seed}"), F.col("key"), i.cast("string")), F.col("rate") / F.col("parts")),
     )
-    counted = keyed.withColumn("__count", count).filter("__count > 0")
-    copies = counted.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__count") - 1)))
-    placed = copies.withColumn("__place", F.xxhash64(F.lit(seed), "__key", "__copy"))
-    shuffled = placed.repartition("__place").sortWithinPartitions("__place")
-    return shuffled.select(*(F.col(c) for c in docs.columns), *([F.col("__copy").alias(copy_col)] if copy_col else []))
+    counted = keyed.withColumn("count", count).filter("count > 0")
+    copies = counted.select("row", "key", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("copy"))
+    placed = copies.select("row", "copy", F.xxhash64(F.lit(seed), "key", "copy").alias("place"))
+    shuffled = placed.repartition("place").sortWithinPartitions("place")
+    return shuffled.select("row.*", *([F.col("copy").alias(copy_col)] if copy_col else []))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relspark.llm.common import WordIds, as_bytes, cut, gram_hashes, id_and_text, id_bitmaps, in_bitmaps, mixed, skew_join
+from relspark.llm.common import WordIds, as_bytes, cut, gram_hashes, id_and_text, id_bitmaps, in_bitmaps, mixed, packed, skew_join
 from relspark.llm.graph import connected_components
 
 #: Sets in a subtree below which the tree is not walked any further but counted at once.
@@ -510,7 +510,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = cut(ngram_join(docs, id_col=id_col, text_col=text_col, **how).filter("doc_id is not null"))
     touched = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
     touched = cut(touched.filter("n > 1 or not stays").select(F.col("doc_id").alias("id"), "stays"))
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), packed(docs).alias("row"))
     bits = id_bitmaps(touched)
     free = in_bitmaps(own, bits, "id", False).select("row")
     near = in_bitmaps(own, bits, "id", True).join(touched, "id", "left").filter("coalesce(stays, true)")

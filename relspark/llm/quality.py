@@ -156,7 +156,11 @@ def score_quality(docs: DataFrame, model: Ranker, id_col: str = "doc_id", text_c
 
 
 def drop_rejected(docs: DataFrame, model: Ranker, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text scores below the cut, columns unchanged."""
+    """``docs`` without the rows whose text scores below the cut; a score equal to it stays.
+
+    Null text counts as empty, and empty texts are scored like any other; very long texts are read whole. Repeated rows go or
+    stay together, ids are not read. The columns stay, whatever their names; an empty table stays empty.
+    """
     names = docs.columns
 
     def keep(parts):

@@ -5,7 +5,8 @@ the shards tier by tier (a tier holds shards whose sizes differ by less than ``f
 tier has ``fanout`` of them, merges neighbours into shards of up to the target size. Each change writes
 data first and then commits a manifest, the list of live shards, under the next version number by a
 create that fails if the file exists: a reader sees one version whole, a lost race or a lost executor
-leaves only files that no manifest names. All access goes through Spark and Hadoop's file system, so the
+leaves only files that no manifest names, which ``vacuum`` deletes when they are old. The rename is exclusive on HDFS and
+local disks; on an object store, whose renames are not, one writer at a time may commit. All access goes through Spark and Hadoop's file system, so the
 store may be any that Spark reaches.
 """
 
@@ -13,13 +14,14 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relspark.llm.common import ensure_checkpoint_dir
+from relspark.llm.common import ensure_checkpoint_dir, free_name
 
 
 @dataclass(frozen=True)
@@ -38,9 +40,10 @@ class ShardStore:
     thousand lines.
     """
 
-    def __init__(self, spark: SparkSession, path: str, small_bytes: int = 8_000_000, target_bytes: int = 128_000_000, fanout: int = 4, text_col: str = "text", codec: str = "zstd"):
+    def __init__(self, spark: SparkSession, path: str, small_bytes: int = 8_000_000, target_bytes: int = 128_000_000, fanout: int = 4, text_col: str = "text", codec: str = "zstd", max_broadcast: int = 100_000):
         self.spark, self.path, self.text_col = spark, path.rstrip("/"), text_col
         self.small_bytes, self.target_bytes, self.fanout, self.codec = small_bytes, target_bytes, fanout, codec
+        self.max_broadcast = max_broadcast
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -82,10 +85,14 @@ class ShardStore:
     def tier(self, size: int) -> int:
         return int(math.log(max(size / self.small_bytes, 1), self.fanout) + 1e-9)
 
-    def _write(self, rows: DataFrame, shard: str) -> list[Shard]:
-        """Write rows, dealt by the column ``shard``, one folder a shard, and measure what was written."""
+    def _write(self, rows: DataFrame, shard: str) -> str:
+        """Write rows, dealt by the column ``shard``, one folder a shard; gives the folder above them."""
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         rows.write.partitionBy(shard).option("compression", self.codec).parquet(folder)
+        return folder
+
+    def _measured(self, folder: str, shard: str) -> list[Shard]:
+        """The shards of a folder of arrivals, with their rows and bytes of text."""
         if not any(s.isDirectory() for s in self._fs.listStatus(self._path(folder))):
             return []
         back = self.spark.read.parquet(folder)
@@ -96,7 +103,8 @@ class ShardStore:
         """Add rows as they lie, a small shard for each task that has some: no shuffle."""
         version = self.version()
         live = self.manifest(version)
-        return self._commit(version + 1, live + self._write(rows.withColumn("__shard", F.spark_partition_id()), "__shard"))
+        shard = free_name("__shard", rows.columns)
+        return self._commit(version + 1, live + self._measured(self._write(rows.withColumn(shard, F.spark_partition_id()), shard), shard))
 
     def plan(self, shards: list[Shard], final: bool = False) -> list[list[Shard]]:
         """Groups to merge: neighbours of a full tier, up to the target size (``final``: any tier)."""
@@ -129,22 +137,39 @@ class ShardStore:
             if not groups:
                 return version
             gone = {s.path: i for i, g in enumerate(groups) for s in g}
-            made = self._write(self._tagged(gone, "__shard").repartition("__shard"), "__shard")
+            rows = self.spark.read.parquet(*gone)
+            shard = free_name("__shard", rows.columns)
+            folder = self._write(self._tagged(rows, gone, shard).repartition(shard), shard)
+            made = []
+            for i, g in enumerate(groups):  # a merged shard has what its parts had: no text is read again
+                size = sum(s.bytes for s in g)
+                made.append(Shard(f"{folder}/{shard}={i}", sum(s.rows for s in g), size, self.tier(size)))
             self._commit(version + 1, [s for s in live if s.path not in gone] + made)
 
-    def _tagged(self, numbers: dict[str, int], name: str) -> DataFrame:
-        """The rows of shards, with the number of each row's shard; a manifest's worth is broadcast."""
+    def _tagged(self, rows: DataFrame, numbers: dict[str, int], name: str) -> DataFrame:
+        """``rows``, read from shards, with the number of each row's shard.
+
+        Up to ``max_broadcast`` numbers are broadcast, more are joined by shuffle, where AQE splits large shards.
+        """
         keys = [("/".join(path.rsplit("/", 2)[1:]), n) for path, n in numbers.items()]
-        table = self.spark.createDataFrame(keys, f"__folder string, {name} int")
-        rows = self.spark.read.parquet(*numbers)
-        folder = F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+)/[^/]+$", 1)
-        return rows.withColumn("__folder", folder).join(F.broadcast(table), "__folder").drop("__folder")
+        here, folder = free_name("__here", [*rows.columns, name]), free_name("__folder", [*rows.columns, name])
+        table = self.spark.createDataFrame(keys, f"`{folder}` string, `{name}` int")
+        found = rows.withColumn(here, F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+)/[^/]+$", 1))
+        joined = found.join(F.broadcast(table) if len(keys) <= self.max_broadcast else table, F.col(here) == F.col(folder))
+        return joined.select(*(F.col(f"`{c}`") for c in rows.columns), name)
+
+    def vacuum(self, older_than: float = 7 * 86_400) -> int:
+        """Delete data that the newest manifest does not name and that is older than so many seconds.
 
-    def vacuum(self) -> int:
-        """Delete data that the newest manifest does not name; gives the number of folders deleted."""
+        The age must exceed the longest append or compaction, which names its files only at its end, and the longest
+        read of an older version. Gives the number of folders deleted.
+        """
         live = {s.path.rsplit("/", 1)[0] for s in self.manifest()}
         folder = self._path(f"{self.path}/data")
-        gone = [s.getPath() for s in self._fs.listStatus(folder) if f"{self.path}/data/{s.getPath().getName()}" not in live]
+        if not self._fs.exists(folder):
+            return 0
+        before = (time.time() - older_than) * 1000
+        gone = [s.getPath() for s in self._fs.listStatus(folder) if f"{self.path}/data/{s.getPath().getName()}" not in live and s.getModificationTime() <= before]
         for path in gone:
             self._fs.delete(path, True)
         return len(gone)
@@ -154,9 +179,8 @@ class ShardStore:
         shards = self.manifest(version)
         if not shards:
             raise ValueError("no rows were ever appended")
-        if shard_col is None:
-            return self.spark.read.parquet(*[s.path for s in shards])
-        return self._tagged({s.path: i for i, s in enumerate(shards)}, shard_col)
+        rows = self.spark.read.parquet(*[s.path for s in shards])
+        return rows if shard_col is None else self._tagged(rows, {s.path: i for i, s in enumerate(shards)}, shard_col)
 
 
 def compact_into_shards(
@@ -165,8 +189,10 @@ def compact_into_shards(
     """Append ``docs`` in ``arrivals`` batches, compact, and read the newest version.
 
     Gives the rows of ``docs``, all columns and repeated rows included, with ``shard_col``, the number of
-    the row's shard in the manifest. Nulls are stored as they are; null text has no bytes. A column
-    of ``docs`` named like ``shard_col`` is an error. An empty table gives no rows.
+    the row's shard in the manifest. Nulls are stored as they are; null text has no bytes. Ids are of any type, ties
+    need no order, and a text longer than the target is a shard of its own. A column of ``docs`` named like ``shard_col`` is an error, other
+    names are free. An empty table gives no rows. Without a ``path`` the store is a new one of this call, and what compaction
+    replaced is deleted; in a caller's store nothing is.
     """
     spark = docs.sparkSession
     if shard_col in docs.columns:
@@ -176,7 +202,8 @@ def compact_into_shards(
     for i in range(arrivals):
         store.append(docs.filter(batch == i))
     store.compact()
-    store.vacuum()
+    if path is None:
+        store.vacuum(older_than=-60)
     if not store.manifest():
         return docs.limit(0).withColumn(shard_col, F.lit(0))
     return store.read(shard_col=shard_col).select(*docs.columns, shard_col)

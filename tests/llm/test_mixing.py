@@ -32,9 +32,10 @@ def test_weights_are_met(spark):
 
 
 def test_large_rates_and_edges(spark):
-    docs = spark.createDataFrame([(1, "x", "a"), (None, None, None), (2, "y" * 999, "b"), (3, "", "c"), (3, "", "c")], "doc_id long, text string, source string").selectExpr("*", "1 as size", "2 as w", "3 as `__x`")
+    docs = spark.createDataFrame([(1, "x", "a"), (None, None, None), (2, "y" * 999, "b"), (3, "", "c"), (3, "", "c")], "doc_id long, text string, source string").selectExpr("*", "1 as size", "2 as w", "3 as `__place`", "4 as __count", "5 as __copy", "6 as __key", "7 as __rate", "8 as row", "9 as key", "10 as place", "11 as name", "12 as parts", "13 as rate", "14 as count", "15 as copy")
     out = mix_sources(docs, {"a": 1.0}, epochs=1.0)
     assert out.columns == docs.columns
+    assert {tuple(r)[3:] for r in out.collect()} == {tuple(docs.first())[3:]}
     n = out.filter("source = 'a'").count()
     assert 850 < n < 1150
     assert mix_sources(docs.limit(0)).collect() == []

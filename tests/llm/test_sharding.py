@@ -20,7 +20,9 @@ def test_round_trip_and_sizes(spark, sf, tmp_path):
     key = sorted(map(tuple, docs.collect()))
     assert sorted(map(tuple, store.read().select(*docs.columns).collect())) == key
     assert sorted(map(tuple, store.read(3).select(*docs.columns).collect())) == key  # an older version stays readable
-    store.vacuum()
+    staged = store._write(docs.limit(3).selectExpr("*", "1 as s"), "s")  # of a writer that has not committed yet
+    assert store.vacuum() == 0 and spark.read.parquet(staged).count() == 3
+    assert store.vacuum(older_than=-60) > 1
     assert sorted(map(tuple, store.read().select(*docs.columns).collect())) == key
     numbered = store.read(shard_col="shard").groupBy("shard").count().collect()
     assert sorted((r[0], r[1]) for r in numbered) == [(i, s.rows) for i, s in enumerate(store.manifest())]
@@ -36,7 +38,7 @@ def test_a_version_is_committed_once(spark, tmp_path):
 
 
 def test_edges(spark):
-    df = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "x" * 100_000)], "doc_id long, text string").selectExpr("*", "1 as __folder2", "null as bytes")
+    df = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "x" * 100_000)], "doc_id long, text string").selectExpr("*", "1 as __folder", "2 as __shard", "3 as __here", "4 as __shard_", "null as bytes")
     df = df.withColumn("bytes", df["bytes"].cast("int"))
     out = compact_into_shards(df)
     assert out.columns == [*df.columns, "shard"]
@@ -44,3 +46,10 @@ def test_edges(spark):
     assert compact_into_shards(df.limit(0)).collect() == []
     with pytest.raises(ValueError, match="shard"):
         compact_into_shards(out)
+
+
+def test_many_shards_are_numbered_by_a_shuffled_join(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(5)
+    out = compact_into_shards(docs, f"file://{tmp_path}/store", small_bytes=20_000, target_bytes=200_000, max_broadcast=0)
+    assert sorted(map(tuple, out.drop("shard").collect())) == sorted(map(tuple, docs.collect()))
+    assert len(list((tmp_path / "store" / "data").iterdir())) > 2  # nothing of a caller's store is deleted
