@@ -25,8 +25,20 @@ def plan_text(rows: DataFrame) -> str:
     return rows._jdf.queryExecution().executedPlan().toString()
 
 
+def _without_cached(text: str) -> str:
+    """The plan without what lies below cached relations, which was read before."""
+    kept, depth = [], None
+    for line in text.splitlines():
+        here = len(line) - len(line.lstrip(" :+-"))
+        if depth is not None and here > depth:
+            continue
+        depth = here if "InMemoryRelation" in line else None
+        kept.append(line)
+    return "\n".join(kept)
+
+
 def facts(rows: DataFrame) -> PlanFacts:
-    text = plan_text(rows)
+    text = _without_cached(plan_text(rows))
     schema = re.findall(r"ReadSchema: struct<([^>]*)>", text)
     return PlanFacts(
         exchanges=len(re.findall(r"(?<!Reused)(?<!Broadcast)Exchange ", text)),

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relspark import constraints as C
+from relspark import engine_queries
 from relspark.functions import divide, is_truthy, modulo, negate, try_divide_or_null
 from relspark.operators import Agg, aggregate, cross_join, distinct, equi_join, order_limit, project, scan, theta_join, where
 from relspark.plans import JoinCondition, QueryPlan
@@ -553,68 +554,25 @@ class Reader:
 
     def sql(self, text: str, *tables: str, **views: str) -> DataFrame:
         """SQL with the given tables and, in order, views bound for this statement."""
-        for name in tables:
-            self(name).createOrReplaceTempView(name)
-        for name, query_text in views.items():
-            self.spark.sql(query_text).createOrReplaceTempView(name)
-        return self.spark.sql(text)
+        try:
+            for name in tables:
+                self(name).createOrReplaceTempView(name)
+            for name, query_text in views.items():
+                self.spark.sql(query_text).createOrReplaceTempView(name)
+            return self.spark.sql(text)
+        finally:
+            for name in (*tables, *views):
+                self.spark.catalog.dropTempView(name)
 
 
 def _run(build: Callable[[Table], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
     return build(Reader(spark, sf_dir))
 
 
-def _engine_query(spark: SparkSession, sf_dir: str, steps: Callable) -> DataFrame:
-    """Run statements on a fresh engine in the shared folder and give its last table."""
-    import tempfile
-    import uuid
-
-    from relspark.engine import Engine
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = f"file://{tempfile.mkdtemp(prefix='relspark-')}"
-    return steps(Engine(spark, f"{base}/engine-{uuid.uuid4().hex}"), Reader(spark, sf_dir))
-
-
-_NATION = "CREATE TABLE nation_copy (n_nationkey INT PRIMARY KEY, n_name VARCHAR(25) NOT NULL, n_regionkey INT)"
-
-
-def _txn_commit(engine, t):
-    engine.sql(_NATION)
-    engine.insert_rows("nation_copy", t("nation"))
-    engine.sql("BEGIN; UPDATE nation_copy SET n_name = upper(n_name), n_regionkey = n_regionkey + 10 WHERE n_regionkey < 2; DELETE FROM nation_copy WHERE n_nationkey >= 20; COMMIT")
-    return engine.table("nation_copy")
-
-
-def _txn_rollback(engine, t):
-    engine.sql(_NATION)
-    engine.insert_rows("nation_copy", t("nation"))
-    engine.sql("BEGIN; DELETE FROM nation_copy; INSERT INTO nation_copy VALUES (1, 'x', 1); ROLLBACK")
-    return engine.table("nation_copy")
-
-
-def _dml_cascade(engine, t):
-    engine.sql("CREATE TABLE r (r_regionkey INT PRIMARY KEY, r_name TEXT); CREATE TABLE n (n_nationkey INT PRIMARY KEY, n_name TEXT, n_regionkey INT REFERENCES r (r_regionkey) ON DELETE CASCADE ON UPDATE CASCADE)")
-    engine.insert_rows("r", t("region"))
-    engine.insert_rows("n", t("nation"))
-    engine.sql("DELETE FROM r WHERE r_name LIKE 'A%'; UPDATE r SET r_regionkey = r_regionkey + 100 WHERE r_name = 'EUROPE'")
-    return engine.table("n")
-
-
-_ENGINE = {
-    "txn_commit": (_txn_commit, "SELECT n_nationkey, CASE WHEN n_regionkey < 2 THEN upper(n_name) ELSE n_name END AS n_name, CASE WHEN n_regionkey < 2 THEN n_regionkey + 10 ELSE n_regionkey END AS n_regionkey FROM nation WHERE n_nationkey < 20"),
-    "txn_rollback": (_txn_rollback, "SELECT n_nationkey, n_name, n_regionkey FROM nation"),
-    "dml_cascade": (_dml_cascade, "SELECT n_nationkey, n_name, CASE WHEN r_name = 'EUROPE' THEN n_regionkey + 100 ELSE n_regionkey END AS n_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name NOT LIKE 'A%'"),
-}
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name.rstrip("_"): partial(_run, build) for name, build in _BUILT.items()}
-    return found | {name: partial(_engine_query, steps=steps) for name, (steps, _) in _ENGINE.items()}
+    return found | engine_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name.rstrip("_"): sql for name, sql in _SQL.items()} | {name: sql for name, (_, sql) in _ENGINE.items()}
+    return {name.rstrip("_"): sql for name, sql in _SQL.items()} | engine_queries.oracle_sql()

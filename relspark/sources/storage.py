@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,7 +35,11 @@ class Storage:
             stream.close()
 
     def create(self, name: str, text: str) -> bool:
-        """Write a new file by renaming a finished one into place; false if the name is taken."""
+        """Write a new file by moving a finished one into place; false if the name is taken.
+
+        A rename is exclusive on HDFS. On a local disk it would replace, so a hard link takes its place. On an object
+        store neither is: there one writer at a time may create.
+        """
         target, aside = self._at(name), self._at(f"_aside/{uuid.uuid4().hex}")
         self._fs.mkdirs(target.getParent())
         stream = self._fs.create(aside, False)
@@ -42,10 +47,15 @@ class Storage:
             stream.write(text.encode())
         finally:
             stream.close()
-        if not self._fs.exists(target) and self._fs.rename(aside, target):
-            return True
-        self._fs.delete(aside, False)
-        return False
+        try:
+            if self._fs.getScheme() == "file":
+                os.link(*(p.toUri().getPath() for p in (aside, target)))
+                return True
+            return not self._fs.exists(target) and self._fs.rename(aside, target)
+        except FileExistsError:
+            return False
+        finally:
+            self._fs.delete(aside, False)
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._at(name), True)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from relspark.engine import Engine
+from relspark.engine import Engine, run_again
 
 
 def stream_into(engine: Engine, table: str, stream: DataFrame, checkpoint: str, name: str = "ingest", **trigger) -> StreamingQuery:
@@ -15,7 +17,8 @@ def stream_into(engine: Engine, table: str, stream: DataFrame, checkpoint: str,
     batch that is run again after a failure is recognised and left out.
     """
 
-    def write(rows: DataFrame, batch: int) -> None:
+    @run_again
+    def add(engine: Engine, rows: DataFrame, batch: int) -> None:
         with engine._change() as txn:
             seen = txn.state.setdefault("streams", {})
             if seen.get(name, -1) >= batch:
@@ -23,5 +26,5 @@ def stream_into(engine: Engine, table: str, stream: DataFrame, checkpoint: str,
             engine.tables.insert(txn, table, rows)
             seen[name] = batch
 
-    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).queryName(name)
+    writer = stream.writeStream.foreachBatch(partial(add, engine)).option("checkpointLocation", checkpoint).queryName(name)
     return (writer.trigger(**trigger) if trigger else writer).start()

@@ -12,7 +12,7 @@ from dataclasses import asdict
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,8 @@ from relspark.plans.statements import ColumnDef, ConstraintDef
 from relspark.types import ColumnType, parse_type
 
 HIT = "__hit"
+#: Folders of a table from which on inserts merge the smaller ones.
+MOST_PARTS = 64
 
 
 def quoted(name: str) -> str:
@@ -67,8 +69,9 @@ class Tables:
     def schema(self, table: dict[str, Any]) -> T.StructType:
         return T.StructType([T.StructField(c["name"], self.column_type(c).spark, True, {"type": c["type"]}) for c in table["columns"]])
 
-    def frame(self, table: dict[str, Any], parts: list[dict[str, Any]] | None = None, with_part: bool = False) -> DataFrame:
-        """The rows of a table or of some of its parts; ``with_part`` adds the folder they lie in."""
+    def frame(self, table: dict[str, Any], parts: list[dict[str, Any]] | None = None, with_part: bool = False, with_place: bool = False) -> DataFrame:
+        """The rows of a table or of some of its parts; ``with_part`` adds the folder they lie in, ``with_place`` the file
+        and the number of the row in it."""
         schema = self.schema(table)
         parts = table["parts"] if parts is None else parts
         by_fill: dict[str, list[str]] = {}
@@ -81,9 +84,12 @@ class Tables:
             picked = [F.expr(fill[f.name]).cast(f.dataType).alias(f.name) if f.name in fill else F.col(quoted(f.name)) for f in schema]
             if with_part:
                 picked.append(F.regexp_extract("_metadata.file_path", "data/[0-9a-f]{32}", 0).alias("__part"))
+            if with_place:
+                picked += [F.regexp_extract("_metadata.file_path", "data/[0-9a-f]{32}/.*", 0).alias("__file"), F.col("_metadata.row_index").alias("__row")]
             frames.append(rows.select(*picked))
         if not frames:
             extra = [T.StructField("__part", T.StringType())] if with_part else []
+            extra += [T.StructField("__file", T.StringType()), T.StructField("__row", T.LongType())] if with_place else []
             return self.spark.createDataFrame([], T.StructType([*schema.fields, *extra]))
         return reduce(DataFrame.unionByName, frames)
 
@@ -94,9 +100,22 @@ class Tables:
         Parquet reader skip row groups on point and range filters."""
         path = f"data/{uuid.uuid4().hex}"
         narrow = rows.select(*(quoted(c["name"]) for c in table["columns"]))
-        (narrow.sortWithinPartitions(*map(quoted, sort_by)) if sort_by else narrow).write.parquet(f"{self.root}/{path}")
-        part = {"path": path, "fill": {}}
-        return part, self.frame(table, [part]).count()
+        written = Observation()
+        (narrow.sortWithinPartitions(*map(quoted, sort_by)) if sort_by else narrow).observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(f"{self.root}/{path}")
+        count = written.get["rows"]
+        return {"path": path, "fill": {}, "rows": count}, count
+
+    def compact(self, table: dict[str, Any], sort_by: list[str], most: int = MOST_PARTS) -> None:
+        """Size-tiered: once a table has ``most`` parts, its smaller half becomes one part.
+
+        A row is rewritten a number of times logarithmic in the number of inserts.
+        """
+        if len(table["parts"]) < most:
+            return
+        small = sorted(table["parts"], key=lambda p: p.get("rows", 0))[: max(most // 2, 2)]
+        paths = {p["path"] for p in small}
+        part, _ = self._write(table, self.frame(table, small), sort_by)
+        table["parts"] = [p for p in table["parts"] if p["path"] not in paths] + [part]
 
     def _sort_columns(self, txn: Transaction, name: str) -> list[str]:
         database, bare = txn.split(name)
@@ -136,23 +155,24 @@ class Tables:
         self._check_keys(table, name, fresh, self.frame(table))
         table["parts"].append(part)
         table["rows"] += count
+        self.compact(table, self._sort_columns(txn, name))
         self._check_parents(txn, table, name, fresh)  # a row may name a row of its own statement
         return count
 
-    def rewrite(self, txn: Transaction, name: str, marked: Callable[[DataFrame], DataFrame], assign: dict[str, Column] | None) -> tuple[int, DataFrame, DataFrame | None]:
-        """Delete (``assign`` is None) or update the rows that ``marked`` flags true in column ``__hit``.
+    def rewrite(self, txn: Transaction, name: str, marked: Callable[[DataFrame], DataFrame], assign: dict[str, Column] | None, places: bool = False) -> tuple[int, DataFrame, DataFrame | None]:
+        """Delete (``assign`` is None) or update the rows that ``marked`` flags true in column ``__hit``; with ``places`` it sees where each row lies.
 
         Gives their number, the rows as they were and, for an update, as they are now.
         """
         table = txn.get("tables", name)
         names = [c["name"] for c in table["columns"]]
-        hits = marked(self.frame(table, with_part=True)).filter(HIT)
+        hits = marked(self.frame(table, with_part=True, with_place=places)).filter(HIT)
         touched = {r[0]: r[1] for r in hits.groupBy("__part").count().toLocalIterator()}
         if not touched:
             empty = self.frame(table, [])
             return 0, empty, empty
         old_parts = [p for p in table["parts"] if p["path"] in touched]
-        old = marked(self.frame(table, old_parts))
+        old = marked(self.frame(table, old_parts, with_place=places))
         before = old.filter(HIT).select(*map(quoted, names))
         if assign is None:
             now, after = old.filter(~F.col(HIT)), None
@@ -171,58 +191,56 @@ class Tables:
 
     # -- changes with their consequences
 
-    def delete(self, txn: Transaction, name: str, marked: Callable[[DataFrame], DataFrame]) -> int:
-        count, before, _ = self.rewrite(txn, name, marked, None)
+    def delete(self, txn: Transaction, name: str, marked: Callable[[DataFrame], DataFrame], places: bool = False) -> int:
+        count, before, _ = self.rewrite(txn, name, marked, None, places)
         if count:
             self._follow(txn, name, before, "on_delete", None)
         return count
 
-    def update(self, txn: Transaction, name: str, marked: Callable[[DataFrame], DataFrame], assign: dict[str, Column]) -> int:
+    def update(self, txn: Transaction, name: str, marked: Callable[[DataFrame], DataFrame], assign: dict[str, Column], places: bool = False) -> int:
         table = txn.get("tables", name)
         known = {c["name"].lower(): c["name"] for c in table["columns"]}
         if unknown := [c for c in assign if c.lower() not in known]:
             raise CatalogProblem(f"no column {', '.join(unknown)} in {name}")
         assign = {known[c.lower()]: v for c, v in assign.items()}
-        count, before, after = self.rewrite(txn, name, marked, assign)
+        count, before, after = self.rewrite(txn, name, marked, assign, places)
         if not count:
             return 0
         self._check_rows(table, name, after)
         for rule in table["constraints"]:
             if rule["kind"] in ("primary", "unique") and set(rule["columns"]) & set(assign):
-                C.require_none(C.duplicate_keys(self.frame(table), rule["columns"]), f"{name}: {rule['kind']} key {rule['columns']} is not unique")
+                # only keys that the update wrote can occur twice; they are looked up, the others are not shuffled
+                written = after.select(*map(quoted, rule["columns"]))
+                same = self.frame(table).select(*map(quoted, rule["columns"])).join(written, rule["columns"], "left_semi")
+                C.require_none(C.duplicate_keys(same, rule["columns"]), f"{name}: {rule['kind']} key {rule['columns']} is not unique")
         self._check_parents(txn, table, name, after, set(assign))
         self._follow(txn, name, before, "on_update", assign)
         return count
 
     def _follow(self, txn: Transaction, name: str, before: DataFrame, when: str, assign: dict[str, Column] | None) -> None:
-        """Apply the referential actions of the tables that name this one."""
-        database, bare = txn.split(name)
+        """Apply the referential actions of the tables, in any database, that name this one."""
         parent = txn.get("tables", name)
-        for child_name, child in list(database["tables"].items()):
-            for rule in child["constraints"]:
-                if rule["kind"] != "foreign" or rule["parent"].rpartition(".")[2].lower() != bare.lower():
-                    continue
-                keys = rule["parent_columns"] or self._primary_key(parent)
-                if assign is not None and not set(keys) & set(assign):
-                    continue
-                left = self.frame(parent).select(*map(quoted, keys))
-                gone = before.select(*map(quoted, keys)).distinct().join(left, keys, "left_anti")
-                held = C.restricted(self.frame(child), rule["columns"], gone, keys)
-                if rule[when] == "RESTRICT":
-                    C.require_none(held, f"{child_name} refers to rows of {name}")
-                    continue
-                if held.isEmpty():
-                    continue
-                mark = self._mark_keys(rule["columns"], gone, keys)
-                prefix = child_name if "." not in name else f"{name.rpartition('.')[0]}.{child_name}"
-                if rule[when] == "SET NULL":
-                    self.update(txn, prefix, mark, {c: F.lit(None) for c in rule["columns"]})
-                elif assign is None:
-                    self.delete(txn, prefix, mark)
-                else:
-                    moved = {c: assign[k] for c, k in zip(rule["columns"], keys, strict=True) if k in assign}
-                    swap = dict(zip(keys, rule["columns"], strict=True))
-                    self.update(txn, prefix, self._mark_moved(rule["columns"], gone, keys, moved), {c: F.col(f"__new_{swap[k]}") for k, c in swap.items() if k in assign})
+        for child_name, child, rule in txn.children(name):
+            keys = rule["parent_columns"] or self._primary_key(parent)
+            if assign is not None and not set(keys) & set(assign):
+                continue
+            left = self.frame(parent).select(*map(quoted, keys))
+            gone = before.select(*map(quoted, keys)).distinct().join(left, keys, "left_anti")
+            held = C.restricted(self.frame(child), rule["columns"], gone, keys)
+            if rule[when] == "RESTRICT":
+                C.require_none(held, f"{child_name} refers to rows of {name}")
+                continue
+            if held.isEmpty():
+                continue
+            mark = self._mark_keys(rule["columns"], gone, keys)
+            if rule[when] == "SET NULL":
+                self.update(txn, child_name, mark, {c: F.lit(None) for c in rule["columns"]})
+            elif assign is None:
+                self.delete(txn, child_name, mark)
+            else:
+                moved = {c: assign[k] for c, k in zip(rule["columns"], keys, strict=True) if k in assign}
+                swap = dict(zip(keys, rule["columns"], strict=True))
+                self.update(txn, child_name, self._mark_moved(rule["columns"], gone, keys, moved), {c: F.col(f"__new_{swap[k]}") for k, c in swap.items() if k in assign})
 
     @staticmethod
     def _mark_keys(columns: list[str], gone: DataFrame, keys: list[str]) -> Callable[[DataFrame], DataFrame]:
@@ -281,9 +299,7 @@ class Tables:
     def _check_parents(self, txn: Transaction, table: dict[str, Any], name: str, rows: DataFrame, changed: set[str] | None = None) -> None:
         for rule in table["constraints"]:
             if rule["kind"] == "foreign" and (changed is None or changed & set(rule["columns"])):
-                prefix = name.rpartition(".")[0]
-                parent_name = rule["parent"] if "." in rule["parent"] or not prefix else f"{prefix}.{rule['parent']}"
-                parent = txn.get("tables", parent_name)
+                parent = txn.get("tables", ".".join(txn.parent(txn.place(name)[0], rule)))
                 keys = rule["parent_columns"] or self._primary_key(parent)
                 # of the parents only those that the rows name take part, found without shuffling the others
                 named = rows.select(*(F.col(quoted(c)).alias(k) for c, k in zip(rule["columns"], keys, strict=True)))
