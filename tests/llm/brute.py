@@ -87,6 +87,41 @@ def base_spans(text):
     return sorted(found, key=lambda s: (s[1], order.index(s[0])))
 
 
+def linked_parts(text, patterns, reach=200, unlabelled=True):
+    """Every part tested against every other; ``patterns`` by kind, BARE with the test of its matches."""
+    text = text or ""
+    base = base_spans(text)
+    found = {k: [m.span() for m in re.finditer(p, text)] for k, p in patterns.items() if k not in ("bare", "mixed")}
+    of = {k: [(a, b) for kind, a, b in base if kind == k] for k in ("assign", "access", "hex")}
+
+    def meets(x, y):
+        return x[0] < y[1] and y[0] < x[1]
+
+    def any_of(x, spans):
+        return any(meets(x, y) for y in spans)
+
+    def scope(x):
+        return sum(b[0] < x[0] for b in found["break"])
+
+    def near(x, y):
+        return scope(x) == scope(y) and x[0] - reach <= y[1] and y[0] - reach <= x[1]
+
+    names = [("id", *x) for x in found["id"]] + [("access", *x) for x in of["access"]]
+    keys = [("assign", *x) for x in of["assign"]] + [("weak", *x) for x in found["weak"] if not any_of(x, of["assign"])]
+    if unlabelled:
+        for m in re.finditer(patterns["bare"], text):
+            x = m.span()
+            taken = of["assign"] + of["access"] + found["id"] + found["weak"]
+            address = any(y[0] < x[1] and x[0] <= y[1] for y in found["endpoint"])
+            if re.search(patterns["mixed"], m[0]) and not any_of(x, taken) and not any(y[0] <= x[0] and x[1] <= y[1] for y in of["hex"]) and not address:
+                keys.append(("bare", *x))
+        keys += [("hex", *x) for x in of["hex"] if not any_of(x, found["id"])]
+    held = [k for k in keys if any(near(k[1:], n[1:]) for n in names)]
+    linked = [n for n in names if any(near(n[1:], k[1:]) for k in keys)] + held
+    linked += [("endpoint", *p) for p in found["endpoint"] if any(near(p, k[1:]) for k in held)]
+    return sorted((a, b, k) for k, a, b in linked if k in ("id", "weak", "bare", "endpoint"))
+
+
 def dedup_lines(docs, min_points=40, min_docs=5):
     held = {}
     split = [(d, (t or "").split("\n")) for d, t in docs]
