@@ -3,28 +3,23 @@
 Of every window of ``w`` consecutive ``k``-gram hashes the (rightmost) minimum is kept as a
 fingerprint. A span of at least ``k + w - 1`` words shared by a document and an item contains a whole
 window on both sides, so both keep the same fingerprint of it: no shared window of ``window`` words
-can be missed with ``w = window - k + 1``. Fingerprints are joined, and each hit is extended: all
-windows around it are looked up among the item's windows and compared word by word. Items too short
-to have a window count as one window of their own length and are looked up at every position.
+can be missed with ``w = window - k + 1``. An item too short for a window is one of its own length, whose hash is its
+fingerprint; documents have those of every such length there is, twelve at most.
 
-The benchmark, not the corpus, is shipped to the tasks: in blocks of at most ``block_bytes`` of
-text. One block (the usual case) is one pass over the documents without any shuffle; more blocks are
-more passes whose word spans are united per document.
+Fingerprints of documents and items are joined. Only texts with hits, found again through a bitmap of fixed size, are
+read on: each hit is extended to the windows around it, which are joined with the items' windows by 128-bit hashes.
+The benchmark is never gathered: fingerprints are broadcast up to ``max_broadcast`` of them and joined by
+shuffle beyond that, windows and items meet in joins that AQE splits.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import MIX, WORD_TABLE, WordIds, as_bytes, gram_hashes, id_and_text, mixed, packed, text_or_empty
-
-SPANS = "doc_id long, doc_key long, n_words long, starts array<int>, ends array<int>, items array<long>"
+from relspark.llm.common import MIX, MIX2, WORD_TABLE, WordIds, as_bytes, cut, gram_hashes, id_and_text, id_bitmaps, in_bitmaps, mixed, packed, skew_join, text_or_empty
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -40,88 +35,50 @@ def winnow(grams: np.ndarray, w: int) -> np.ndarray:
     return at[np.flatnonzero(np.diff(at, prepend=-1))]
 
 
-class Windows:
-    """The windows of one length of a block of items: sorted hashes, words, and items of each."""
-
-    def __init__(self, length: int, hashes: np.ndarray, words: np.ndarray, items: np.ndarray):
-        self.length = length
-        order = np.lexsort((items, hashes))
-        hashes, items = hashes[order], items[order]
-        first = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] ^ np.uint64(1)))
-        self.hashes, self.words = hashes[first], words[order[first]]
-        self.bounds, self.items = np.append(first, len(hashes)), items
-
-    def find(self, ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the windows of ``ids`` at ``starts`` occur here, and where."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        hit = np.flatnonzero(self.hashes[at] == hashes)
-        if len(hit):
-            same = np.ones(len(hit), bool)
-            for j in range(self.length):
-                same &= ids[starts[hit] + j] == self.words[at[hit], j]
-            hit = hit[same]
-        return starts[hit], at[hit]
-
-    def items_of(self, at: np.ndarray) -> list[np.ndarray]:
-        return [self.items[self.bounds[i] : self.bounds[i + 1]] for i in np.unique(at).tolist()]
-
-
-class Block:
-    """A block of benchmark items, ready to be matched against documents."""
-
-    def __init__(self, items: list[tuple[int, bytes]], window: int, k: int):
-        self.window, self.k, self.w = window, k, window - k + 1
-        hasher = WordIds()
-        by_length: dict[int, list] = {}
-        prints = [np.empty(0, np.uint64)]
-        for item, text in items:
-            ids = hasher(words_of(text))
-            n = min(window, len(ids))
-            if n:
-                rows = np.lib.stride_tricks.sliding_window_view(ids, n)
-                by_length.setdefault(n, []).append((gram_hashes(ids, n), rows, np.full(len(rows), item, np.int64)))
-            if n == window:
-                grams = gram_hashes(ids, k)
-                prints.append(grams[winnow(grams, self.w)])
-        self.prints = np.unique(np.concatenate(prints))
-        self.windows = {n: Windows(n, *(np.concatenate(x) for x in zip(*v, strict=True))) for n, v in by_length.items()}
-
-    def match(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """Starts and ends of the united hit spans, and the items that have occurring windows."""
-        starts, ends, items = [], [], []
-        n = len(ids)
-        for length, known in self.windows.items():
-            if n < length:
-                continue
-            if length == self.window:
-                grams = gram_hashes(ids, self.k)
-                at = winnow(grams, self.w)
-                near = np.searchsorted(self.prints, grams[at])
-                at = at[self.prints[np.minimum(near, len(self.prints) - 1)] == grams[at]] if len(self.prints) else at[:0]
-                if not len(at):
-                    continue
-                spread = at[:, None] - np.arange(self.w)
-                spread = np.unique(spread[(spread >= 0) & (spread <= n - length)])
-                hashes = _hash_at(ids, spread, length)
-            else:
-                spread, hashes = np.arange(n - length + 1), gram_hashes(ids, length)
-            found, where = known.find(ids, spread, hashes)
-            if len(found):
-                starts.append(found)
-                ends.append(found + length)
-                items.extend(known.items_of(where))
-        if not starts:
-            return np.empty(0, np.int64), np.empty(0, np.int64), []
-        s, e = union_spans(np.concatenate(starts), np.concatenate(ends))
-        return s, e, np.unique(np.concatenate(items)).tolist()
-
-
-def _hash_at(ids: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    out = ids[starts].copy()
+def window_hashes(ids: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the windows of ``length`` words at ``starts``."""
+    out = [ids[starts].copy(), mixed(ids[starts])]
     for j in range(1, length):
-        out *= MIX
-        out += ids[starts + j]
-    return mixed(out)
+        for h, base in zip(out, (MIX, MIX2), strict=True):
+            h *= base
+            h += ids[starts + j]
+    return mixed(out[0]), mixed(out[1] + np.uint64(length))
+
+
+def marked(hashes: np.ndarray, length: int) -> np.ndarray:
+    """Fingerprints of windows of ``length`` words, which differ from those of any other length."""
+    return mixed(hashes + np.uint64(length)).view(np.int64)
+
+
+class Prints:
+    """Fingerprints of texts: winnowed for full windows, whole windows of the lengths of short items."""
+
+    def __init__(self, window: int, k: int, short: list[int]):
+        self.window, self.k, self.w, self.short = window, k, window - k + 1, short
+        self.ids = WordIds()
+
+    def words(self, text: bytes) -> np.ndarray:
+        return self.ids(words_of(text))
+
+    def of(self, ids: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """Window length, places and fingerprints, for each length that the text reaches."""
+        found = []
+        for n in (*self.short, self.window):
+            if len(ids) >= n:
+                grams = gram_hashes(ids, self.k if n == self.window else n)
+                at = winnow(grams, self.w) if n == self.window else np.arange(len(grams))
+                found.append((n, at, marked(grams[at], n)))
+        return found
+
+    def around(self, ids: np.ndarray, hit: np.ndarray):
+        """Length, starts and hashes of the windows that contain a fingerprint of ``hit``."""
+        for n, at, prints in self.of(ids):
+            at = at[np.isin(prints, hit)]
+            if n == self.window:
+                at = np.unique(at[:, None] - np.arange(self.w))
+                at = at[(at >= 0) & (at <= len(ids) - n)]
+            if len(at):
+                yield n, at, *window_hashes(ids, at, n)
 
 
 def union_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,52 +88,70 @@ def union_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts[new], np.append(ends[new[1:] - 1], ends[-1])
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
-    block, size = [], 0
-    rows = benchmark.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    for row in rows.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).toLocalIterator():
-        text = row[1].encode()
-        if block and size + len(text) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((row[0], text))
-        size += len(text)
-    if block:
-        yield block
+def item_windows(items: DataFrame, window: int, k: int) -> DataFrame:
+    """``item, n, h1, h2, print`` of every window; full windows have a fingerprint where winnowing kept one."""
+
+    def build(parts):
+        prints = Prints(window, k, [])
+        for batch in parts:
+            columns = [[np.empty(0, np.int64)] for _ in range(5)]
+            for item, text in zip(batch.column(0).to_pylist(), as_bytes(batch, "text"), strict=True):
+                ids = prints.words(text)
+                n = min(window, len(ids))
+                if n:
+                    starts = np.arange(len(ids) - n + 1)
+                    h1, h2 = window_hashes(ids, starts, n)
+                    grams = gram_hashes(ids, k if n == window else n)
+                    kept = marked(grams[winnow(grams, prints.w)] if n == window else grams, n)
+                    rows = max(len(starts), len(kept))  # of a long item there are fewer fingerprints than windows
+                    one = (np.full(rows, item, np.int64), np.full(rows, n, np.int64), h1.view(np.int64), h2.view(np.int64), np.resize(kept, rows))
+                    for column, values in zip(columns, one, strict=True):
+                        column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["item", "n", "h1", "h2", "print"])
+
+    return items.mapInArrow(build, "item long, n long, h1 long, h2 long, print long")
+
+
+def doc_prints(texts: DataFrame, window: int, k: int, short: list[int]) -> DataFrame:
+    """``key, print``: the distinct fingerprints of each text."""
+
+    def build(parts):
+        prints = Prints(window, k, short)
+        for batch in parts:
+            found = [[p for _, _, p in prints.of(prints.words(text))] for text in as_bytes(batch, "text")]
+            kept = [np.unique(np.concatenate(f)) if f else np.empty(0, np.int64) for f in found]
+            take = pa.array(np.repeat(np.arange(len(kept)), [len(x) for x in kept]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.concatenate(kept) if kept else np.empty(0, np.int64))], names=["key", "print"])
+
+    return texts.mapInArrow(build, "key long, print long")
 
 
-def _match_block(docs: DataFrame, items: list[tuple[int, bytes]], window: int, k: int) -> DataFrame:
-    shipped = docs.sparkSession.sparkContext.broadcast(items)
-    kinds = [("doc_id", pa.int64()), ("doc_key", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))]
-    schema = pa.schema(kinds)
+def hit_windows(texts: DataFrame, window: int, k: int, short: list[int]) -> DataFrame:
+    """``key, n, start, h1, h2``: the windows around the hits of texts ``key, text, prints``."""
 
-    def scan(parts):
-        block, hasher = Block(shipped.value, window, k), WordIds()
+    def build(parts):
+        prints = Prints(window, k, short)
         for batch in parts:
-            n, starts, ends, found = [], [], [], []
-            for text in as_bytes(batch, "text"):
-                ids = hasher(words_of(text))
-                s, e, i = block.match(ids)
-                n.append(len(ids))
-                starts.append(s.astype(np.int32))
-                ends.append(e.astype(np.int32))
-                found.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, (_, t) in zip((n, starts, ends, found), kinds[2:], strict=True))], schema=schema)
+            columns = [[np.empty(0, np.int64)] for _ in range(5)]
+            for key, text, hit in zip(batch.column(0).to_pylist(), as_bytes(batch, "text"), batch.column(2).to_pylist(), strict=True):
+                for n, at, h1, h2 in prints.around(prints.words(text), np.array(hit, np.int64)):
+                    one = (np.full(len(at), key, np.int64), np.full(len(at), n, np.int64), at, h1.view(np.int64), h2.view(np.int64))
+                    for column, values in zip(columns, one, strict=True):
+                        column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["key", "n", "start", "h1", "h2"])
 
-    return docs.mapInArrow(scan, SPANS)
+    return texts.mapInArrow(build, "key long, n long, start long, h1 long, h2 long")
 
 
 def _unite(parts):
-    """Unite the spans and items that the passes found in the same document row."""
+    """Unite the spans found in each text."""
     for batch in parts:
-        starts, ends, items = [], [], []
-        for s, e, i in zip(*(batch.column(c).to_pylist() for c in (3, 4, 5)), strict=True):
-            s, e = (np.array([x for y in z for x in y], np.int64) for z in (s, e))
-            s, e = union_spans(s, e) if len(s) else (s, e)
+        starts, ends = [], []
+        for places in batch.column(1).to_pylist():
+            s, e = union_spans(*(np.array([p[c] for p in places], np.int64) for c in ("start", "end")))
             starts.append(s.astype(np.int32))
             ends.append(e.astype(np.int32))
-            items.append(sorted({x for y in i for x in y}))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "doc_key", "n_words", "starts", "ends", "items"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=["key", "starts", "ends"])
 
 
 def contamination(
@@ -185,39 +160,50 @@ def contamination(
     window: int = 13,
     k: int = 6,
     share: int = 20,
-    block_bytes: int = 32_000_000,
+    max_broadcast: int = 1_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
 ) -> DataFrame:
     """One row per input row: ``doc_id, doc_key, n_words, n_hit, starts, ends, items, contaminated``.
 
-    ``doc_key`` is the xxhash64 of the text.
-    ``starts``/``ends`` are the united word spans (end exclusive) that windows of items cover, ``items``
-    the sorted ids of the items with occurring windows, ``contaminated`` is ``n_hit > 0 and share *
-    n_hit >= n_words``. Null or wordless text has no words and is clean; items that are null, have a
-    null id or no words are skipped; items that share an id count once. Repeated rows are reported
-    as often as they occur. Empty tables
+    ``doc_key`` is the xxhash64 of the text. ``starts``/``ends`` are the united word spans (end exclusive) that windows of
+    items cover, ``items`` the sorted ids of the items with occurring windows, ``contaminated`` is ``n_hit > 0 and share *
+    n_hit >= n_words``. Ids of documents and items are integers, or strings of such. Null or wordless text has no words and is
+    clean; items that are null, have a null id or no words are skipped; items that share an id count once. Equal texts,
+    repeated rows among them, are judged once and reported as often as they occur. Very long texts are read whole. Empty tables
     give no rows or no hits. Other columns are not read.
     """
-    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("doc_key"), "text")
-    found, passes = None, 0
-    for passes, block in enumerate(_blocks(benchmark, item_col, text_col, block_bytes), 1):
-        part = _match_block(rows, block, window, k)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = _match_block(rows, [], window, k)
-    if passes > 1:
-        gathered = [F.collect_list(c).alias(c) for c in ("starts", "ends", "items")]
-        merged = found.groupBy("doc_id", "doc_key", "n_words").agg(F.count("*").alias("n"), *gathered)
-        copies = F.explode(F.sequence(F.lit(1).cast("long"), F.expr(f"n div {passes}")))
-        found = merged.select("doc_id", "doc_key", "n_words", "starts", "ends", "items", copies.alias("copy")).drop("copy").mapInArrow(_unite, SPANS)
-    hit = F.coalesce(F.aggregate(F.zip_with("starts", "ends", lambda s, e: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
-    return found.select("doc_id", "doc_key", "n_words", hit.alias("n_hit"), "starts", "ends", "items").withColumn("contaminated", F.expr(f"n_hit > 0 and {share} * n_hit >= n_words"))
-
-
-def items_digest(items: list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+    text = F.col("text")
+    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64(text).alias("doc_key"), "text")
+    texts = rows.select(F.col("doc_key").alias("key"), "text")
+    known = benchmark.filter(F.col(item_col).isNotNull() & F.col(text_col).isNotNull())
+    windows = cut(item_windows(id_and_text(known, item_col, text_col), window, k).distinct())
+    short = sorted(r[0] for r in windows.filter(F.col("n") < window).select("n").distinct().collect())  # fewer than ``window``
+    prints = cut(windows.select("print").distinct())
+    few = prints.limit(max_broadcast + 1).count() <= max_broadcast
+    own = doc_prints(texts, window, k, short)
+    met = own.join(F.broadcast(prints), "print") if few else skew_join(own, prints, "print")
+    hits = cut(met.groupBy("key").agg(F.collect_set("print").alias("prints")))
+    near = in_bitmaps(texts, id_bitmaps(hits.select(F.col("key").alias("id"))), "key", True)
+    once = near.groupBy("key").agg(F.any_value("text").alias("text")).join(hits, "key")  # equal texts once
+    places = hit_windows(once.select("key", "text", "prints"), window, k, short)
+    shapes = windows.select("n", "h1", "h2").distinct()
+    found = cut(skew_join(places, shapes, "n", "h1", "h2"))
+    spans = found.groupBy("key").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("end"))).alias("places")).mapInArrow(_unite, "key long, starts array<int>, ends array<int>")
+    named = skew_join(found.select("key", "n", "h1", "h2").distinct(), windows.select("n", "h1", "h2", "item").distinct(), "n", "h1", "h2")
+    items = named.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    judged = spans.join(items, "key")
+    words = F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+    counted = rows.select("doc_id", F.col("doc_key").alias("key"), words.alias("n_words"))
+    whole = skew_join(counted, judged, "key", how="left")
+    none = F.array().cast("array<int>")
+    hit = F.aggregate(F.zip_with("starts", "ends", lambda s, e: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    full = whole.select(
+        "doc_id", F.col("key").alias("doc_key"), "n_words", F.coalesce(hit, F.lit(0).cast("long")).alias("n_hit"), F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"),
+        F.coalesce("items", F.array().cast("array<long>")).alias("items"),
+    )
+    return full.withColumn("contaminated", F.expr(f"n_hit > 0 and {share} * n_hit >= n_words"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

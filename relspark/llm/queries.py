@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relspark.llm.decontaminate import contamination, items_digest
+from relspark.llm.decontaminate import contamination
 from relspark.llm.exact_dedup import exact_dedup
 from relspark.llm.line_dedup import dedup_lines
 from relspark.llm.mixing import mix_sources
@@ -41,16 +40,8 @@ def op3_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "benchmark"))
-    kinds = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]
-
-    def digest(parts):
-        for batch in parts:
-            items = batch.column(3).to_pylist()
-            new = [pa.array([len(i) for i in items], pa.int64()), pa.array([items_digest(i) for i in items], pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *new, batch.column(4)], schema=pa.schema(kinds))
-
-    narrow = found.select("doc_id", "n_words", "n_hit", "items", "contaminated")
-    return narrow.mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

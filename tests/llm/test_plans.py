@@ -12,7 +12,7 @@ def test_native_operators_run_no_python(spark, sf, name):
     assert not p.python and not p.cartesian
 
 
-@pytest.mark.parametrize("name", ["op2_url_filter", "op4_decontaminate", "op6_quality"])
+@pytest.mark.parametrize("name", ["op2_url_filter", "op6_quality"])
 def test_map_only_operators_do_not_shuffle(spark, sf, name):
     assert facts(corpus.queries()[name](spark, sf)).exchanges == 0
 
