@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from relspark.llm.common import MIX, MIX2, WORD_TABLE, WordIds, as_bytes, cut, gram_hashes, id_and_text, id_bitmaps, in_bitmaps, mixed, packed, skew_join, text_or_empty
 
+IS_WORD = np.array([c != 32 for c in WORD_TABLE])
+
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_TABLE).split()
@@ -126,6 +128,24 @@ def doc_prints(texts: DataFrame, window: int, k: int, short: list[int]) -> DataF
     return texts.mapInArrow(build, "key long, print long")
 
 
+def word_counts(rows: DataFrame) -> DataFrame:
+    """``doc_id, key, n_words`` of rows ``doc_id, doc_key, text``: the first bytes of words, counted a batch at a time."""
+
+    def build(parts):
+        for batch in parts:
+            texts = batch.column(2).cast(pa.binary())
+            _, ends, data = texts.buffers()
+            ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+            held = IS_WORD[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]] if data is not None else np.empty(0, bool)
+            ends = ends - ends[0]
+            before = np.append(False, held)[: len(held)]
+            before[ends[:-1][ends[:-1] < len(held)]] = False
+            at = np.flatnonzero(held & ~before)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(np.searchsorted(at, ends)))], names=["doc_id", "key", "n_words"])
+
+    return rows.mapInArrow(build, "doc_id long, key long, n_words long")
+
+
 def hit_windows(texts: DataFrame, window: int, k: int, short: list[int]) -> DataFrame:
     """``key, n, start, h1, h2``: the windows around the hits of texts ``key, text, prints``."""
 
@@ -194,8 +214,7 @@ def contamination(
     named = skew_join(found.select("key", "n", "h1", "h2").distinct(), windows.select("n", "h1", "h2", "item").distinct(), "n", "h1", "h2")
     items = named.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
     judged = spans.join(items, "key")
-    words = F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
-    counted = rows.select("doc_id", F.col("doc_key").alias("key"), words.alias("n_words"))
+    counted = word_counts(rows)
     whole = skew_join(counted, judged, "key", how="left")
     none = F.array().cast("array<int>")
     hit = F.aggregate(F.zip_with("starts", "ends", lambda s, e: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
