@@ -231,6 +231,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     Rows with null, empty or wordless text stay; rows repeated with id and text go or stay together; very long texts
     are judged whole. A null id is like any other. The columns stay, whatever their names; an empty table stays empty.
     """
-    bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **how).filter("contaminated").select(F.col("doc_id").alias("id"), F.col("doc_key").alias("key")).distinct()
+    bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **how).filter("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("doc_key").alias("id")).distinct()
+    bad = cut(bad)
+    bits = id_bitmaps(bad)
     own = docs.select(packed(docs).alias("row"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(text_or_empty(text_col)).alias("own_key"))
-    return own.join(bad, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")), "left_anti").select("row.*")
+    free, near = (in_bitmaps(own, bits, "own_key", hit) for hit in (False, True))
+    kept = near.join(bad, F.col("own_id").eqNullSafe(F.col("bad_id")) & (F.col("own_key") == F.col("id")), "left_anti")
+    return free.unionByName(kept).select("row.*")
