@@ -114,7 +114,7 @@ def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
 class WordIds:
     """Word to 64-bit hash with a memo of bounded size."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 200_000):
         self.memo: dict[bytes, int] = {}
         self.limit = limit
 

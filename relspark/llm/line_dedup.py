@@ -224,6 +224,7 @@ def dedup_lines(
     min_docs: int = 5,
     shards: int | None = None,
     salts: int = 16,
+    page_keys: int = 20_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -235,9 +236,12 @@ def dedup_lines(
     that share the keeping id all keep the line. A null id is below all others. An empty table gives
     no rows; columns other than id and text are not read.
     """
-    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = cut(line_keys(docs, min_points, id_col, text_col))
-    pages = build_pages(reference_counts(keys), min_docs, shards)
+    counts = reference_counts(keys)
+    if shards is None:  # so that a page stays small, however many frequent lines there are
+        counts = cut(counts.filter(F.col("n_docs") >= min_docs))
+        shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // page_keys))
+    pages = build_pages(counts, min_docs, shards)
     return apply_drops(docs, probe(keys, pages, shards, salts), min_points, id_col, text_col)
 
 

@@ -43,7 +43,7 @@ HUBS = 64
 #: Links handed on at once.
 BATCH = 100_000
 #: Shingles that a task gathers before it packs them, and those that a bucket holds.
-CHUNK, BUCKET = 2_000_000, 4_000_000
+CHUNK, BUCKET = 500_000, 2_000_000
 #: Bits of a shingle's hash in an ordered key; the number of classes, capped, stands above them.
 HASH_BITS = 52
 MAX_DF = 2047
@@ -187,15 +187,25 @@ def token_rows(texts: DataFrame, n: int) -> DataFrame:
     """``doc_id, tag, n_shingles, token`` for every shingle, as the upper bits of its hash."""
     names = ["doc_id", "tag", "n_shingles", "token"]
 
+    def rows(docs: list, sets: list[np.ndarray]):
+        sizes = [len(s) for s in sets]
+        take = pa.array(np.repeat(np.arange(len(sets)), sizes))
+        tags = pa.array([np.uint64(set_tag(s)).astype(np.int64).item() if len(s) else 0 for s in sets], pa.int64())
+        tokens = np.concatenate(sets) >> np.uint64(64 - HASH_BITS)
+        yield pa.RecordBatch.from_arrays([*(c.take(take) for c in (pa.array(docs, pa.int64()), tags, pa.array(sizes, pa.int64()))), pa.array(tokens.view(np.int64))], names=names)
+
     def build(parts):
-        ids = WordIds()
+        ids, docs, sets, size = WordIds(), [], [], 0
         for batch in parts:
-            sets = [shingles(text, n, ids) for text in as_bytes(batch, "text")]
-            sizes = [len(s) for s in sets]
-            take = pa.array(np.repeat(np.arange(len(sets)), sizes))
-            tags = pa.array([np.uint64(set_tag(s)).astype(np.int64).item() if len(s) else 0 for s in sets], pa.int64())
-            tokens = np.concatenate(sets) >> np.uint64(64 - HASH_BITS) if sets else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in (batch.column(0), tags, pa.array(sizes, pa.int64()))), pa.array(tokens.view(np.int64))], names=names)
+            for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch, "text"), strict=True):
+                docs.append(doc)
+                sets.append(shingles(text, n, ids))
+                size += len(sets[-1])
+                if size >= CHUNK:
+                    yield from rows(docs, sets)
+                    docs, sets, size = [], [], 0
+        if sets:
+            yield from rows(docs, sets)
 
     return texts.mapInArrow(build, "doc_id long, tag long, n_shingles long, token long")
 

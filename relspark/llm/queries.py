@@ -74,7 +74,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_substrings(_read(spark, sf_dir, "documents", "doc_id", "text"), extend=True)
+    out = dedup_substrings(_read(spark, sf_dir, "documents", "doc_id", "text"), extend=True, min_words=20, max_words=20, cut_every=3)
     return out.select("doc_id", "n_sentences", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -94,3 +94,23 @@ def test_query_extends_runs(spark, tmp_path):
     text = "\n".join(passage(11, 60, False).split())
     spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id: r.n_removed for r in op10_substring_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 60}
+
+
+def test_query_like_brute_force(spark, sf):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    s, cut, runs = Splitter(3, 20, 20, 3), {}, {}
+    for d, t in sorted(docs):
+        begins, _, _ = s.sentences(t.encode())
+        bounds = [*begins.tolist(), len(t.encode())]
+        words = [tuple(w.rstrip(b"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~").lower() for w in t.encode()[a:b].split()) for a, b in zip(bounds, bounds[1:])]
+        sizes, n, cut[d] = [len(w) for w in words], len(words), words
+        ahead = [next(((a, b) for b in range(a + 3, n + 1) if sum(sizes[a:b]) >= 20), None) for a in range(n)]
+        back = [next(((a, b) for a in range(b - 3, -1, -1) if sum(sizes[a:b]) >= 20), None) for b in range(1, n + 1)]
+        for a, b in sorted({r for r in ahead + back if r} or ({(0, n)} if n else set())):
+            runs.setdefault(tuple(words[a:b]), []).append((d, a, b))
+    gone = {d: set() for d in cut}
+    for places in runs.values():
+        for d, a, b in places[1:]:
+            gone[d] |= set(range(a, b))
+    got = {r.doc_id: (r.n_sentences, r.n_removed) for r in op10_substring_dedup(spark, sf).collect()}
+    assert got == {d: (len(cut[d]), len(gone[d])) for d in cut} and any(gone.values())
