@@ -111,6 +111,13 @@ def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
+def each_text(batch: pa.RecordBatch, name: str, step: int = 256) -> Iterator[bytes]:
+    """The texts of a batch one by one, of which only a few are copied at a time."""
+    column = batch.column(batch.schema.get_field_index(name))
+    for i in range(0, len(column), step):
+        yield from column.slice(i, step).cast(pa.binary()).to_pylist()
+
+
 class WordIds:
     """Word to 64-bit hash with a memo of bounded size."""
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import MIX, MIX2, WORD_TABLE, WordIds, as_bytes, cut, gram_hashes, id_and_text, id_bitmaps, in_bitmaps, mixed, packed, skew_join, text_or_empty
+from relspark.llm.common import MIX, MIX2, WORD_TABLE, WordIds, each_text, cut, gram_hashes, id_and_text, id_bitmaps, in_bitmaps, mixed, packed, skew_join, text_or_empty
 
 IS_WORD = np.array([c != 32 for c in WORD_TABLE])
 
@@ -97,7 +97,7 @@ def item_windows(items: DataFrame, window: int, k: int) -> DataFrame:
         prints = Prints(window, k, [])
         for batch in parts:
             columns = [[np.empty(0, np.int64)] for _ in range(5)]
-            for item, text in zip(batch.column(0).to_pylist(), as_bytes(batch, "text"), strict=True):
+            for item, text in zip(batch.column(0).to_pylist(), each_text(batch, "text"), strict=True):
                 ids = prints.words(text)
                 n = min(window, len(ids))
                 if n:
@@ -120,7 +120,7 @@ def doc_prints(texts: DataFrame, window: int, k: int, short: list[int]) -> DataF
     def build(parts):
         prints = Prints(window, k, short)
         for batch in parts:
-            found = [[p for _, _, p in prints.of(prints.words(text))] for text in as_bytes(batch, "text")]
+            found = [[p for _, _, p in prints.of(prints.words(text))] for text in each_text(batch, "text")]
             kept = [np.unique(np.concatenate(f)) if f else np.empty(0, np.int64) for f in found]
             take = pa.array(np.repeat(np.arange(len(kept)), [len(x) for x in kept]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.concatenate(kept) if kept else np.empty(0, np.int64))], names=["key", "print"])
@@ -153,7 +153,7 @@ def hit_windows(texts: DataFrame, window: int, k: int, short: list[int]) -> Data
         prints = Prints(window, k, short)
         for batch in parts:
             columns = [[np.empty(0, np.int64)] for _ in range(5)]
-            for key, text, hit in zip(batch.column(0).to_pylist(), as_bytes(batch, "text"), batch.column(2).to_pylist(), strict=True):
+            for key, text, hit in zip(batch.column(0).to_pylist(), each_text(batch, "text"), batch.column(2).to_pylist(), strict=True):
                 for n, at, h1, h2 in prints.around(prints.words(text), np.array(hit, np.int64)):
                     one = (np.full(len(at), key, np.int64), np.full(len(at), n, np.int64), at, h1.view(np.int64), h2.view(np.int64))
                     for column, values in zip(columns, one, strict=True):

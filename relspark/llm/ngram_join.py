@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relspark.llm.common import WordIds, as_bytes, cut, gram_hashes, id_and_text, id_bitmaps, in_bitmaps, mixed, packed, skew_join
+from relspark.llm.common import WordIds, each_text, cut, gram_hashes, id_and_text, id_bitmaps, in_bitmaps, mixed, packed, skew_join
 from relspark.llm.graph import connected_components
 
 #: Sets in a subtree below which the tree is not walked any further but counted at once.
@@ -87,7 +87,7 @@ def shingle_table(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFr
         ids = WordIds()
         for batch in parts:
             size, digest, tag = [], [], []
-            for text in as_bytes(batch, "text"):
+            for text in each_text(batch, "text"):
                 s = shingles(text, n, ids)
                 size.append(len(s))
                 digest.append(set_digest(s))
@@ -141,7 +141,7 @@ def lone_counts(docs: DataFrame, n: int, share: float, buckets: int, id_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 5_000], strict=True), packed.types, strict=True)], schema=packed)
 
         for batch in parts:
-            for text in as_bytes(batch, "text"):
+            for text in each_text(batch, "text"):
                 s = shingles(text, n, ids)
                 part = s[s < limit]
                 if len(part) and (tag := set_tag(s)) not in held:
@@ -197,7 +197,7 @@ def token_rows(texts: DataFrame, n: int) -> DataFrame:
     def build(parts):
         ids, docs, sets, size = WordIds(), [], [], 0
         for batch in parts:
-            for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch, "text"), strict=True):
+            for doc, text in zip(batch.column(0).to_pylist(), each_text(batch, "text"), strict=True):
                 docs.append(doc)
                 sets.append(shingles(text, n, ids))
                 size += len(sets[-1])
