@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import MIX, MIX2, WORD_TABLE, WordIds, each_text, cut, gram_hashes, id_and_text, id_bitmaps, in_bitmaps, mixed, packed, skew_join, text_or_empty
+from relspark.llm.common import MIX, MIX2, WORD_TABLE, WordIds, cut, each_text, gram_hashes, id_and_text, id_bitmaps, in_bitmaps, mixed, packed, skew_join, text_or_empty
 
 IS_WORD = np.array([c != 32 for c in WORD_TABLE])
 

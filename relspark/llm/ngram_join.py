@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relspark.llm.common import WordIds, each_text, cut, gram_hashes, id_and_text, id_bitmaps, in_bitmaps, mixed, packed, skew_join
+from relspark.llm.common import WordIds, cut, each_text, gram_hashes, id_and_text, id_bitmaps, in_bitmaps, mixed, packed, skew_join
 from relspark.llm.graph import connected_components
 
 #: Sets in a subtree below which the tree is not walked any further but counted at once.
