@@ -15,7 +15,9 @@ batch of lines, whatever the group's size.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relspark.llm.common import SPACE_BYTES, as_bytes, cut, id_and_text, mixed
+from relspark.sources.storage import Storage
 
 KEY_SCHEMA = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 DROP_SCHEMA = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary())])
 SLOTS, KICKS = 4, 200
+#: Stands for a null id, which is below all others.
+NO_ID = -1 << 63
 
 
 def line_digest(line: bytes, min_points: int) -> bytes | None:
@@ -248,77 +253,179 @@ def dedup_lines(
 class LineIndex:
     """Line deduplication that takes batches in and documents out again.
 
-    Under ``path`` lie an append-only ledger of ``(shard, h1, h2, doc_id, delta)`` in one folder
-    per version and each version's pages. The ledger's net sums are the exact reference counts. A
-    change touches the pages of its shards only: keys that became frequent are inserted into the
-    shard's cuckoo filter, keys that ceased to be are deleted from it, and the exact table behind
-    it is replaced. A version counts once its pages are written, so a failed change leaves no trace.
-    """
+    Under ``path`` lie immutable folders and one manifest a version, which names the folders that make it up:
+
+    - ledger runs ``h1, h2, doc_id, delta``: their sums say which documents hold a key, and how often;
+    - count runs ``h1, h2, n_docs, keep_id, version``: the newest row of a key is its exact reference count;
+    - pages, of which the newest of each shard holds.
 
-    def __init__(self, spark: SparkSession, path: str, min_points: int = 40, min_docs: int = 5, shards: int = 16, version: int = 0):
-        """``version`` reopens an index at one of its versions, 0 starts a new one."""
-        self.spark, self.path, self.min_points, self.min_docs, self.shards = spark, path, min_points, min_docs, shards
-        self.version = version
+    A change looks up the keys of its batch alone among the counts, writes their new counts as a run and turns the
+    pages on which a key became or ceased to be frequent or found another keeper: such keys are inserted into or
+    deleted from the shard's cuckoo filter and exact table. The ledger is read for deletions only: for the rows that
+    go, and for the holders of keys whose keeper goes. A new run takes in the runs before it that are not much larger,
+    so that there are logarithmically many and a row is written again that often. Shards are dealt anew once the pages
+    hold more than ``page_keys`` keys each. The manifest is created last and exclusively: a failed change leaves no
+    trace but folders that no manifest names, and of two writers of one version the second fails.
 
-    def _ledger(self, upto: int) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.path}/ledger/v{v}" for v in range(1, upto + 1)])
+    Ids are integers; a null id is below all others. A row inserted twice counts twice and goes one at a time;
+    documents or lines to delete that were never inserted are ignored. Empty batches make a version without a change.
+    """
 
-    def _pages(self, version: int) -> DataFrame:
-        if version:
-            return self.spark.read.parquet(f"{self.path}/pages/v{version}")
-        return self.spark.createDataFrame([], "shard int, page binary")
+    SCHEMAS = {
+        "ledger": "h1 long, h2 long, doc_id long, delta long",
+        "counts": "h1 long, h2 long, n_docs long, keep_id long, version long",
+        "pages": "shard int, page binary, version long",
+    }
+    MANY_PAGE_FOLDERS = 8
+
+    def __init__(self, spark: SparkSession, path: str, min_points: int = 40, min_docs: int = 5, shards: int = 16, version: int = 0, page_keys: int = 20_000):
+        """``version`` reopens an index at one of its versions, 0 starts a new one; only the newest takes changes."""
+        self.spark, self.path, self.min_points, self.min_docs, self.page_keys = spark, path, min_points, min_docs, page_keys
+        self.store = Storage(spark, path)
+        self.state = json.loads(self.store.read(f"manifest/v{version}.json")) if version else {"version": 0, "shards": shards, "keys": 0, "ledger": [], "counts": [], "pages": []}
+
+    @property
+    def version(self) -> int:
+        return self.state["version"]
+
+    @property
+    def shards(self) -> int:
+        return self.state["shards"]
+
+    def _read(self, kind: str, runs: list[dict] | None = None) -> DataFrame:
+        folders = [f"{self.path}/{run['folder']}" for run in (self.state[kind] if runs is None else runs)]
+        if not folders:
+            return self.spark.createDataFrame([], self.SCHEMAS[kind])
+        return self.spark.read.schema(self.SCHEMAS[kind]).parquet(*folders)
+
+    def _write(self, kind: str, rows: DataFrame) -> dict:
+        run = {"folder": f"{kind}/{uuid.uuid4().hex}"}
+        rows.write.parquet(f"{self.path}/{run['folder']}")
+        return run | {"rows": self._read(kind, [run]).count()}
+
+    def _added(self, kind: str, rows: DataFrame) -> list[dict]:
+        """The runs with a new one, merged with those before it that are at most twice its size."""
+        runs = self.state[kind] + [self._write(kind, rows.sortWithinPartitions("h1", "h2"))]
+        first, size = len(runs) - 1, runs[-1]["rows"]
+        while first and runs[first - 1]["rows"] <= 2 * size:
+            first -= 1
+            size += runs[first]["rows"]
+        if first < len(runs) - 1:
+            net = _balance if kind == "ledger" else _newest
+            runs[first:] = [self._write(kind, net(self._read(kind, runs[first:])).sortWithinPartitions("h1", "h2"))]
+        return runs
+
+    def _pages(self, folders: list[dict] | None = None) -> DataFrame:
+        rows = self._read("pages", folders)
+        newest = rows.groupBy("shard").agg(F.max("version").alias("version"))
+        return rows.join(newest, ["shard", "version"], "left_semi")
 
     def counts(self) -> DataFrame:
-        """The exact reference counts: ``shard, h1, h2, n_docs, keep_id``."""
-        held = self._ledger(self.version).groupBy("shard", "h1", "h2", "doc_id").agg(F.sum("delta").alias("n"))
-        return held.filter("n > 0").groupBy("shard", "h1", "h2").agg(F.sum("n").alias("n_docs"), F.max("doc_id").alias("keep_id"))
+        """The exact reference counts: ``h1, h2, n_docs, keep_id``."""
+        return _newest(self._read("counts")).filter("n_docs > 0").drop("version")
 
-    def _change(self, docs: DataFrame, delta: int, id_col: str, text_col: str) -> None:
+    def _counts_of(self, keys: DataFrame) -> DataFrame:
+        return _newest(self._read("counts").join(keys.select("h1", "h2"), ["h1", "h2"], "left_semi")).drop("version")
+
+    def _batch(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         keys = line_keys(docs, self.min_points, id_col, text_col)
-        rows = keys.select(F.pmod("h1", F.lit(self.shards)).cast("int").alias("shard"), "h1", "h2", "doc_id", F.lit(delta).cast("long").alias("delta"))
-        before, self.version = self.version, self.version + 1
-        try:
-            rows.write.mode("overwrite").parquet(f"{self.path}/ledger/v{self.version}")
-            batch = self.spark.read.parquet(f"{self.path}/ledger/v{self.version}")
-            touched = self._ledger(self.version).join(F.broadcast(batch.select("shard").distinct()), "shard", "left_semi")
-            held = touched.groupBy("shard", "h1", "h2", "doc_id").agg(F.sum("delta").alias("n")).filter("n > 0")
-            now = held.groupBy("shard", "h1", "h2").agg(F.sum("n").alias("n_docs"), F.max("doc_id").alias("keep_id"))
-            frequent = now.filter(F.col("n_docs") >= self.min_docs).drop("n_docs")
-            changed = touched.select("shard").distinct()
-            old = self._pages(before)
-            kept = old.join(changed, "shard", "left_anti")
-            marker = changed.select("shard", F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), F.lit(None).cast("long").alias("keep_id"))
-            fresh = frequent.unionByName(marker).groupBy("shard").cogroup(old.groupBy("shard")).applyInArrow(_turn_page, "shard int, page binary")
-            kept.unionByName(fresh.join(changed, "shard", "left_semi")).write.mode("overwrite").parquet(f"{self.path}/pages/v{self.version}")
-        except Exception:
-            self.version = before
-            raise
+        return cut(keys.groupBy("h1", "h2", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")).agg(F.count("*").alias("n")))
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        self._change(docs, 1, id_col, text_col)
+        batch = self._batch(docs, id_col, text_col)
+        added = batch.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("doc_id").alias("doc_id"))
+        held = F.coalesce("n_docs", F.lit(0))
+        now = added.join(self._counts_of(added), ["h1", "h2"], "left").select(
+            "h1", "h2", held.alias("n_before"), (held + F.col("n")).alias("n_docs"),
+            F.when(held > 0, F.greatest("keep_id", "doc_id")).otherwise(F.col("doc_id")).alias("keep_id"),
+        )
+        self._change(batch.withColumnRenamed("n", "delta"), now)
 
     def delete(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Take out documents that were inserted before, given with the same texts."""
-        self._change(docs, -1, id_col, text_col)
+        key, row = ["h1", "h2"], ["h1", "h2", "doc_id"]
+        batch = self._batch(docs, id_col, text_col)
+        held = _balance(self._read("ledger").join(batch.select(row), row, "left_semi"))
+        gone = cut(batch.join(held, row).select(*row, F.least("n", "delta").alias("n"), (F.col("n") >= F.col("delta")).alias("whole")))
+        lost = gone.groupBy(key).agg(F.sum("n").alias("n"), F.max(F.when(F.col("whole"), F.col("doc_id"))).alias("doc_id"))
+        now = cut(lost.join(self._counts_of(lost), key).select(
+            *key, F.col("n_docs").alias("n_before"), (F.col("n_docs") - F.col("n")).alias("n_docs"), "keep_id",
+            F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("bereft"),
+        ))
+        bereft = now.filter("bereft and n_docs > 0").select(key)
+        others = _balance(self._read("ledger").join(bereft, key, "left_semi")).join(gone.filter("whole").select(row), row, "left_anti")
+        heirs = others.groupBy(key).agg(F.max("doc_id").alias("heir"))
+        now = now.join(heirs, key, "left").select(*key, "n_before", "n_docs", F.coalesce("heir", "keep_id").alias("keep_id"))
+        self._change(gone.select(*row, (-F.col("n")).alias("delta")), now)
+
+    def _change(self, moved: DataFrame, now: DataFrame) -> None:
+        """Commit a version with ``moved`` in the ledger and ``now`` as the counts of the keys in it."""
+        now, version, shards = cut(now), self.version + 1, self.shards
+        was, is_ = F.col("n_before") >= self.min_docs, F.col("n_docs") >= self.min_docs
+        turns = now.filter(was | is_)
+        n_turns, keys = turns.agg(F.count("*"), F.coalesce(F.sum(is_.cast("long") - was.cast("long")), F.lit(0))).first()
+        keys += self.state["keys"]
+        state = {"version": version, "keys": keys, "ledger": self._added("ledger", moved)}
+        state["counts"] = self._added("counts", now.select("h1", "h2", "n_docs", "keep_id", F.lit(version).cast("long").alias("version")))
+        folders, stamp = self.state["pages"], F.lit(version).cast("long").alias("version")
+        if keys > shards * self.page_keys:
+            shards = 2 * -(-keys // self.page_keys)
+            fresh = build_pages(_newest(self._read("counts", state["counts"])), self.min_docs, shards)
+            folders = [self._write("pages", fresh.select("shard", "page", stamp))]
+        elif n_turns:
+            changes = turns.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), "h1", "h2", "keep_id", is_.alias("frequent"))
+            old = self._pages().select("shard", "page").join(changes.select("shard").distinct(), "shard", "left_semi")
+            fresh = changes.groupBy("shard").cogroup(old.groupBy("shard")).applyInArrow(_turn_page, "shard int, page binary")
+            folders = folders + [self._write("pages", fresh.select("shard", "page", stamp))]
+            if len(folders) > self.MANY_PAGE_FOLDERS:
+                folders = [self._write("pages", self._pages(folders))]
+        state |= {"shards": shards, "pages": folders}
+        if not self.store.create(f"manifest/v{version}.json", json.dumps(state)):
+            raise RuntimeError(f"version {version} was committed by another writer")
+        self.state = state
 
     def dedup(self, docs: DataFrame, salts: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``doc_id, text, n_lines, n_dropped`` of ``docs`` under the present counts."""
         keys = cut(line_keys(docs, self.min_points, id_col, text_col))
-        drops = probe(keys, self._pages(self.version), self.shards, salts)
+        drops = probe(keys, self._pages().select("shard", "page"), self.shards, salts)
         return apply_drops(docs, drops, self.min_points, id_col, text_col)
 
+    def vacuum(self) -> None:
+        """Delete the folders that the present version does not name, while nobody writes; older versions are lost."""
+        named = {run["folder"] for kind in self.SCHEMAS for run in self.state[kind]}
+        for kind in self.SCHEMAS:
+            for name in self.store.names(kind):
+                if f"{kind}/{name}" not in named:
+                    self.store.delete(f"{kind}/{name}")
+
+
+def _balance(ledger: DataFrame) -> DataFrame:
+    """``h1, h2, doc_id, delta`` of the rows that are held, over several runs."""
+    return ledger.groupBy("h1", "h2", "doc_id").agg(F.sum("delta").alias("delta")).filter("delta != 0")
+
+
+def _newest(counts: DataFrame) -> DataFrame:
+    """The newest row of each key."""
+    last = F.max(F.struct("version", "n_docs", "keep_id")).alias("last")
+    return counts.groupBy("h1", "h2").agg(last).select("h1", "h2", "last.n_docs", "last.keep_id", "last.version")
+
 
-def _turn_page(fresh: pa.Table, old: pa.Table) -> pa.Table:
-    """The next page of a shard: its filter changed in place by insertions and deletions."""
+def _turn_page(changes: pa.Table, old: pa.Table) -> pa.Table:
+    """The next page of a shard: keys put in and taken out, the filter changed in place."""
     out = pa.schema([("shard", pa.int32()), ("page", pa.binary())])
-    shard = (fresh if fresh.num_rows else old)["shard"][0].as_py()
-    fresh = fresh.filter(fresh["h1"].is_valid())
-    h1, h2, keep = (fresh[c].fill_null(-1 << 63).to_numpy() for c in ("h1", "h2", "keep_id"))
-    filt = None
+    held, filt = {}, None
     if old.num_rows:
         page = Page.from_bytes(old["page"][0].as_py())
-        had, has = set(zip(page.h1.tolist(), page.h2.tolist(), strict=True)), set(zip(h1.tolist(), h2.tolist(), strict=True))
+        held = dict(zip(zip(page.h1.tolist(), page.h2.tolist(), strict=True), page.keep.tolist(), strict=True))
         filt = page.filter
-        ok = all(filt.delete(k) for _, k in had - has) and all(filt.insert(k) for _, k in has - had)
-        filt = filt if ok else None
-    return pa.Table.from_pydict({"shard": [shard], "page": [Page(h1, h2, keep, filt).to_bytes()]}, schema=out)
+    for h1, h2, keep, frequent in zip(*(changes[c].to_pylist() for c in ("h1", "h2", "keep_id", "frequent")), strict=True):
+        if frequent:
+            fits = not filt or (h1, h2) in held or filt.insert(h2)
+            held[h1, h2] = keep
+        else:
+            known = held.pop((h1, h2), None) is not None
+            fits = not filt or not known or filt.delete(h2)
+        filt = filt if fits else None
+    h1, h2 = np.array(list(held), np.int64).reshape(-1, 2).T
+    page = Page(h1, h2, np.fromiter(held.values(), np.int64, len(held)), filt)
+    return pa.Table.from_pydict({"shard": [changes["shard"][0].as_py()], "page": [page.to_bytes()]}, schema=out)
