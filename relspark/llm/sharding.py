@@ -4,9 +4,10 @@
 the shards tier by tier (a tier holds shards whose sizes differ by less than ``fanout``) and, where a
 tier has ``fanout`` of them, merges neighbours into shards of up to the target size. Each change writes
 data first and then commits a manifest, the list of live shards, under the next version number by a
-create that fails if the file exists: a reader sees one version whole, a lost race or a lost executor
-leaves only files that no manifest names, which ``vacuum`` deletes when they are old. The rename is exclusive on HDFS and
-local disks; on an object store, whose renames are not, one writer at a time may commit. All access goes through Spark and Hadoop's file system, so the
+create that fails if the file exists: a reader sees one version whole. A writer that loses the race commits upon the
+winner's version; only a compaction whose shards another one merged fails. A lost executor or a failed writer leaves only files
+that no manifest names, which ``vacuum`` deletes when they are old. The create is exclusive on HDFS and local disks; on an
+object store, whose renames are not, one writer at a time may commit. All access goes through Spark and Hadoop's file system, so the
 store may be any that Spark reaches.
 """
 
@@ -16,12 +17,14 @@ import json
 import math
 import time
 import uuid
+from collections.abc import Collection
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relspark.llm.common import ensure_checkpoint_dir, free_name
+from relspark.sources.storage import Storage
 
 
 @dataclass(frozen=True)
@@ -32,6 +35,10 @@ class Shard:
     tier: int
 
 
+class Overtaken(RuntimeError):
+    """Another writer committed first."""
+
+
 class ShardStore:
     """A folder of immutable Parquet shards and manifests ``manifest/v<number>.json``.
 
@@ -44,15 +51,13 @@ class ShardStore:
         self.spark, self.path, self.text_col = spark, path.rstrip("/"), text_col
         self.small_bytes, self.target_bytes, self.fanout, self.codec = small_bytes, target_bytes, fanout, codec
         self.max_broadcast = max_broadcast
+        self._store = Storage(spark, self.path)
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def version(self) -> int:
-        folder = self._path(f"{self.path}/manifest")
-        if not self._fs.exists(folder):
-            return 0
-        names = (s.getPath().getName() for s in self._fs.listStatus(folder))
+        names = self._store.names("manifest")
         return max((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
 
     def manifest(self, version: int | None = None) -> list[Shard]:
@@ -60,28 +65,26 @@ class ShardStore:
         version = self.version() if version is None else version
         if not version:
             return []
-        stream = self._fs.open(self._path(f"{self.path}/manifest/v{version}.json"))
-        try:
-            text = bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-        return [Shard(**x) for x in json.loads(text)]
+        return [Shard(**x) for x in json.loads(self._store.read(f"manifest/v{version}.json"))]
 
     def _commit(self, version: int, shards: list[Shard]) -> int:
-        """Write the manifest aside and rename it into place; fails if the version exists."""
-        aside = self._path(f"{self.path}/aside/{uuid.uuid4().hex}.json")
-        target = self._path(f"{self.path}/manifest/v{version}.json")
-        stream = self._fs.create(aside, False)
-        try:
-            stream.write(json.dumps([asdict(s) for s in shards]).encode())
-        finally:
-            stream.close()
-        self._fs.mkdirs(target.getParent())
-        if self._fs.exists(target) or not self._fs.rename(aside, target):
-            self._fs.delete(aside, False)
-            raise RuntimeError(f"version {version} was committed by another writer")
+        """Create the manifest of a version; fails if the version exists."""
+        if not self._store.create(f"manifest/v{version}.json", json.dumps([asdict(s) for s in shards])):
+            raise Overtaken(f"version {version} was committed by another writer")
         return version
 
+    def _swap(self, gone: Collection[str], made: list[Shard]) -> int:
+        """Commit ``made`` in place of the shards ``gone``, upon whatever version is the newest by then."""
+        while True:
+            version = self.version()
+            live = self.manifest(version)
+            if not set(gone) <= {s.path for s in live}:
+                raise Overtaken("another writer merged the same shards")
+            try:
+                return self._commit(version + 1, [s for s in live if s.path not in gone] + made)
+            except Overtaken:
+                continue
+
     def tier(self, size: int) -> int:
         return int(math.log(max(size / self.small_bytes, 1), self.fanout) + 1e-9)
 
@@ -101,10 +104,8 @@ class ShardStore:
 
     def append(self, rows: DataFrame) -> int:
         """Add rows as they lie, a small shard for each task that has some: no shuffle."""
-        version = self.version()
-        live = self.manifest(version)
         shard = free_name("__shard", rows.columns)
-        return self._commit(version + 1, live + self._measured(self._write(rows.withColumn(shard, F.spark_partition_id()), shard), shard))
+        return self._swap((), self._measured(self._write(rows.withColumn(shard, F.spark_partition_id()), shard), shard))
 
     def plan(self, shards: list[Shard], final: bool = False) -> list[list[Shard]]:
         """Groups to merge: neighbours of a full tier, up to the target size (``final``: any tier)."""
@@ -144,7 +145,7 @@ class ShardStore:
             for i, g in enumerate(groups):  # a merged shard has what its parts had: no text is read again
                 size = sum(s.bytes for s in g)
                 made.append(Shard(f"{folder}/{shard}={i}", sum(s.rows for s in g), size, self.tier(size)))
-            self._commit(version + 1, [s for s in live if s.path not in gone] + made)
+            self._swap(gone, made)
 
     def _tagged(self, rows: DataFrame, numbers: dict[str, int], name: str) -> DataFrame:
         """``rows``, read from shards, with the number of each row's shard.

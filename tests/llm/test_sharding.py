@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 from relspark.llm.sharding import ShardStore, compact_into_shards
@@ -37,6 +39,19 @@ def test_a_version_is_committed_once(spark, tmp_path):
     assert [r[0] for r in store.read().collect()] == [1]
 
 
+def test_writers_at_once_all_land(spark, tmp_path):
+    stores = [ShardStore(spark, f"file://{tmp_path}/store") for _ in range(6)]
+    rows = [spark.createDataFrame([(i, "a")], "doc_id long, text string").coalesce(1) for i in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        versions = list(pool.map(lambda i: stores[i].append(rows[i]), range(6)))
+    assert sorted(versions) == [1, 2, 3, 4, 5, 6]
+    assert sorted(r[0] for r in stores[0].read().collect()) == [0, 1, 2, 3, 4, 5]
+    merged = stores[1].manifest()[:2]
+    stores[0]._swap({s.path for s in merged}, merged[:1])
+    with pytest.raises(RuntimeError, match="merged the same"):
+        stores[1]._swap({s.path for s in merged}, [])
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "x" * 100_000)], "doc_id long, text string").selectExpr("*", "1 as __folder", "2 as __shard", "3 as __here", "4 as __shard_", "null as bytes")
     df = df.withColumn("bytes", df["bytes"].cast("int"))
