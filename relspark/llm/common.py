@@ -111,11 +111,16 @@ def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
-def each_text(batch: pa.RecordBatch, name: str, step: int = 256) -> Iterator[bytes]:
+def slices(batch: pa.RecordBatch, step: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of a few rows each, none of them empty; their columns share the batch's memory."""
+    for i in range(0, batch.num_rows, step):
+        yield batch.slice(i, step)
+
+
+def each_text(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
     """The texts of a batch one by one, of which only a few are copied at a time."""
-    column = batch.column(batch.schema.get_field_index(name))
-    for i in range(0, len(column), step):
-        yield from column.slice(i, step).cast(pa.binary()).to_pylist()
+    for part in slices(batch):
+        yield from as_bytes(part, name)
 
 
 class WordIds:

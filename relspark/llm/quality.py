@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import as_bytes, id_and_text
+from relspark.llm.common import as_bytes, each_text, id_and_text, slices
 
 BUCKETS = 64
 DENSE = 16
@@ -127,7 +127,7 @@ def train(
 
     def extract(parts):
         for batch in parts:
-            x = [features(t).tobytes() for t in as_bytes(batch, "text")]
+            x = [features(t).tobytes() for t in each_text(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.binary())], schema=out)
 
     got = rows.mapInArrow(extract, "doc_id long, label int, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "x").limit(max_rows).toArrow()
@@ -146,9 +146,9 @@ def score_quality(docs: DataFrame, model: Ranker, id_col: str = "doc_id", text_c
 
     def score(parts):
         for batch in parts:
-            texts = as_bytes(batch, "text")
-            scores = np.concatenate([model.score(np.stack([features(t) for t in texts[i : i + 512]])) for i in range(0, len(texts), 512)]) if texts else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], schema=out)
+            for part in slices(batch):
+                scores = model.score(np.stack([features(t) for t in as_bytes(part, "text")]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], schema=out)
 
     scored = id_and_text(docs, id_col, text_col).mapInArrow(score, "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False))
@@ -166,8 +166,9 @@ def drop_rejected(docs: DataFrame, model: Ranker, id_col: str = "doc_id", text_c
     def keep(parts):
         at = names.index(text_col)
         for batch in parts:
-            texts = batch.column(at).fill_null("").cast(pa.binary()).to_pylist()
-            good = np.concatenate([model.score(np.stack([features(t) for t in texts[i : i + 512]])) for i in range(0, len(texts), 512)]) >= model.cut_score if texts else np.empty(0, bool)
-            yield batch.filter(pa.array(good, pa.bool_()))
+            for part in slices(batch):  # what goes back to the JVM is as small
+                texts = part.column(at).fill_null("").cast(pa.binary()).to_pylist()
+                good = model.score(np.stack([features(t) for t in texts])) >= model.cut_score
+                yield part.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
