@@ -40,7 +40,7 @@ class Overtaken(RuntimeError):
 
 
 class ShardStore:
-    """A folder of immutable Parquet shards and manifests ``manifest/v<number>.json``.
+    """A folder of immutable Parquet files, the shards, and manifests ``manifest/v<number>.json``.
 
     Bytes are those of the texts in UTF-8, so plans do not hang on what a codec makes of them. The
     manifest has a line for each shard; a shard is near ``target_bytes``, so 100 TB are some hundred
@@ -88,24 +88,23 @@ class ShardStore:
     def tier(self, size: int) -> int:
         return int(math.log(max(size / self.small_bytes, 1), self.fanout) + 1e-9)
 
-    def _write(self, rows: DataFrame, shard: str) -> str:
-        """Write rows, dealt by the column ``shard``, one folder a shard; gives the folder above them."""
+    def _write(self, rows: DataFrame) -> str:
+        """Write rows as they are dealt, a file for each task that has some; gives the folder of the files."""
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        rows.write.partitionBy(shard).option("compression", self.codec).parquet(folder)
+        rows.write.option("compression", self.codec).option("maxRecordsPerFile", 0).parquet(folder)
         return folder
 
-    def _measured(self, folder: str, shard: str) -> list[Shard]:
-        """The shards of a folder of arrivals, with their rows and bytes of text."""
-        if not any(s.isDirectory() for s in self._fs.listStatus(self._path(folder))):
-            return []
+    def _measured(self, folder: str) -> list[Shard]:
+        """The shards of a folder of arrivals, with their rows and bytes of text; files without rows are none."""
         back = self.spark.read.parquet(folder)
-        sizes = back.groupBy(shard).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length(self.text_col), F.lit(0))).alias("b"))
-        return [Shard(f"{folder}/{shard}={r[0]}", r["n"], r["b"], self.tier(r["b"])) for r in sizes.orderBy(shard).toLocalIterator()]
+        name = back.metadataColumn("_metadata")["file_name"].alias("name")
+        size = F.coalesce(F.octet_length(F.col(f"`{self.text_col}`")), F.lit(0)).cast("long").alias("size")
+        sizes = back.select(name, size).groupBy("name").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
+        return [Shard(f"{folder}/{r['name']}", r["n"], r["b"], self.tier(r["b"])) for r in sizes.orderBy("name").toLocalIterator()]
 
     def append(self, rows: DataFrame) -> int:
-        """Add rows as they lie, a small shard for each task that has some: no shuffle."""
-        shard = free_name("__shard", rows.columns)
-        return self._swap((), self._measured(self._write(rows.withColumn(shard, F.spark_partition_id()), shard), shard))
+        """Add rows as they lie, a small shard for each task that has some: no shuffle and no sort."""
+        return self._swap((), self._measured(self._write(rows)))
 
     def plan(self, shards: list[Shard], final: bool = False) -> list[list[Shard]]:
         """Groups to merge: neighbours of a full tier, up to the target size (``final``: any tier)."""
@@ -128,8 +127,8 @@ class ShardStore:
     def compact(self, final: bool = False) -> int:
         """Merge until no tier is full (``final``: until only full-sized shards and one rest remain).
 
-        One job merges all groups of a round: each row finds its group by the folder it comes from, and
-        each group, at most the target size, is written by one task.
+        One job merges all groups of a round: each row finds its group by the file it comes from, and each group, at
+        most the target size, is dealt to a task of its own, which writes the rows as they come, unsorted, as one file.
         """
         while True:
             version = self.version()
@@ -140,13 +139,19 @@ class ShardStore:
             gone = {s.path: i for i, g in enumerate(groups) for s in g}
             rows = self.spark.read.parquet(*gone)
             shard = free_name("__shard", rows.columns)
-            folder = self._write(self._tagged(rows, gone, shard).repartition(shard), shard)
+            folder = self._write(self._tagged(rows, gone, shard).repartitionById(len(groups), shard).drop(shard))
+            files = self._files(folder)
             made = []
             for i, g in enumerate(groups):  # a merged shard has what its parts had: no text is read again
                 size = sum(s.bytes for s in g)
-                made.append(Shard(f"{folder}/{shard}={i}", sum(s.rows for s in g), size, self.tier(size)))
+                made.append(Shard(f"{folder}/{files[i]}", sum(s.rows for s in g), size, self.tier(size)))
             self._swap(gone, made)
 
+    def _files(self, folder: str) -> dict[int, str]:
+        """The file of each task that wrote into a folder, by the task's number."""
+        names = (s.getPath().getName() for s in self._fs.listStatus(self._path(folder)))
+        return {int(n.split("-")[1]): n for n in names if n.startswith("part-")}
+
     def _tagged(self, rows: DataFrame, numbers: dict[str, int], name: str) -> DataFrame:
         """``rows``, read from shards, with the number of each row's shard.
 
@@ -155,7 +160,7 @@ class ShardStore:
         keys = [("/".join(path.rsplit("/", 2)[1:]), n) for path, n in numbers.items()]
         here, folder = free_name("__here", [*rows.columns, name]), free_name("__folder", [*rows.columns, name])
         table = self.spark.createDataFrame(keys, f"`{folder}` string, `{name}` int")
-        found = rows.withColumn(here, F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+)/[^/]+$", 1))
+        found = rows.withColumn(here, F.regexp_extract(rows.metadataColumn("_metadata")["file_path"], "([^/]+/[^/]+)$", 1))
         joined = found.join(F.broadcast(table) if len(keys) <= self.max_broadcast else table, F.col(here) == F.col(folder))
         return joined.select(*(F.col(f"`{c}`") for c in rows.columns), name)
 

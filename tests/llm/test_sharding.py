@@ -22,7 +22,7 @@ def test_round_trip_and_sizes(spark, sf, tmp_path):
     key = sorted(map(tuple, docs.collect()))
     assert sorted(map(tuple, store.read().select(*docs.columns).collect())) == key
     assert sorted(map(tuple, store.read(3).select(*docs.columns).collect())) == key  # an older version stays readable
-    staged = store._write(docs.limit(3).selectExpr("*", "1 as s"), "s")  # of a writer that has not committed yet
+    staged = store._write(docs.limit(3))  # of a writer that has not committed yet
     assert store.vacuum() == 0 and spark.read.parquet(staged).count() == 3
     assert store.vacuum(older_than=-60) > 1
     assert sorted(map(tuple, store.read().select(*docs.columns).collect())) == key
@@ -53,7 +53,7 @@ def test_writers_at_once_all_land(spark, tmp_path):
 
 
 def test_edges(spark):
-    df = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "x" * 100_000)], "doc_id long, text string").selectExpr("*", "1 as __folder", "2 as __shard", "3 as __here", "4 as __shard_", "null as bytes")
+    df = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "x" * 100_000)], "doc_id long, text string").selectExpr("*", "1 as __folder", "2 as __shard", "3 as __here", "4 as __shard_", "null as bytes", "5 as _metadata")
     df = df.withColumn("bytes", df["bytes"].cast("int"))
     out = compact_into_shards(df)
     assert out.columns == [*df.columns, "shard"]
@@ -63,6 +63,18 @@ def test_edges(spark):
         compact_into_shards(out)
 
 
+def test_shards_are_whole_files_without_a_sort(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(6)
+    store = ShardStore(spark, f"file://{tmp_path}/store", small_bytes=20_000, target_bytes=200_000)
+    store.append(docs.filter("doc_id % 2 = 0"))
+    store.append(docs.filter("doc_id % 2 = 1"))
+    for version in (2, store.compact(final=True)):
+        for s in store.manifest(version):
+            row = spark.read.parquet(s.path).selectExpr("count(*)", "coalesce(sum(octet_length(text)), 0)").first()
+            assert tuple(row) == (s.rows, s.bytes)
+    assert store.append(docs.limit(0)) == store.version() and all(s.rows for s in store.manifest())
+
+
 def test_many_shards_are_numbered_by_a_shuffled_join(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(5)
     out = compact_into_shards(docs, f"file://{tmp_path}/store", small_bytes=20_000, target_bytes=200_000, max_broadcast=0)
